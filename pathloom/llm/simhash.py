@@ -20,7 +20,7 @@ as often as they come; an empty table gives an empty result; extra columns are n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +69,9 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return bind_text(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
+Near = Callable[[np.ndarray, np.ndarray], np.ndarray]  # which pairs of places are near
+
+
 # ---- the trie -------------------------------------------------------------------------------
 
 
@@ -88,7 +91,7 @@ def _settle(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = up
 
 
-def _compare(fp: np.ndarray, pairs: np.ndarray, errors: int, label: np.ndarray) -> None:
+def _compare(pairs: np.ndarray, near: Near, label: np.ndarray) -> None:
     """All places of small node pairs (lo1, hi1, lo2, hi2) against each other."""
     cost = (pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2])
     groups = np.cumsum(cost) // AT_ONCE
@@ -98,17 +101,21 @@ def _compare(fp: np.ndarray, pairs: np.ndarray, errors: int, label: np.ndarray)
         k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         wide = (p[:, 3] - p[:, 2])[which]
         i, j = p[which, 0] + k // wide, p[which, 2] + k % wide
-        near = (i < j) & (np.bitwise_count(fp[i] ^ fp[j]) <= errors)
-        _settle(label, i[near], j[near])
+        below = i < j
+        i, j = i[below], j[below]
+        apart = label[i] != label[j]  # what is linked already needs no look
+        i, j = i[apart], j[apart]
+        linked = near(i, j)
+        _settle(label, i[linked], j[linked])
 
 
-def walk(fp: np.ndarray, pairs: np.ndarray, depth: int, errors: int, label: np.ndarray) -> None:
-    """Walk node pairs (lo1, hi1, lo2, hi2, differing bits) of sorted ``fp`` from bit ``depth`` down."""
+def walk(fp: np.ndarray, pairs: np.ndarray, depth: int, errors: int, near: Near, label: np.ndarray, bits: int = BITS) -> None:
+    """Walk node pairs (lo1, hi1, lo2, hi2, differing bits) of sorted ``fp`` from bit ``depth`` down to ``bits``."""
     while len(pairs):
         cost = (pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2])
-        small = (cost <= LEAF) | (depth >= BITS)
+        small = (cost <= LEAF) | (depth >= bits)
         if small.any():
-            _compare(fp, pairs[small, :4], errors, label)
+            _compare(pairs[small, :4], near, label)
             pairs = pairs[~small]
         if not len(pairs):
             return
@@ -137,7 +144,7 @@ def _forest(node: np.ndarray, own: np.ndarray, side: np.ndarray, fp: np.ndarray,
     pairs = pairs[(pairs[:, 0] < pairs[:, 1]) & (pairs[:, 2] < pairs[:, 3])]
     label = np.arange(len(node))
     for d in np.unique(depth[pairs[:, 0]]):
-        walk(fp, pairs[depth[pairs[:, 0]] == d], int(d), errors, label)
+        walk(fp, pairs[depth[pairs[:, 0]] == d], int(d), errors, lambda i, j: np.bitwise_count(fp[i] ^ fp[j]) <= errors, label)
     linked = np.flatnonzero(label != np.arange(len(node)))
     return linked, label[linked]
 
@@ -236,6 +243,135 @@ def near_links(fps: DataFrame, errors: int = 3, most: int = MOST) -> DataFrame:
     return links
 
 
+# ---- near copies: wide fingerprints -------------------------------------------------------
+
+WORDS = 4  # 64-bit words of a wide fingerprint
+BAND = 16  # bits of a band; near copies differ in at most one bit of one of the bands
+HALF = BAND // 2
+_MIX = [np.uint64(k) for k in (0x0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+
+
+def wide_fingerprint(text: str | None, width: int) -> np.ndarray:
+    """256 bits over the set of shingles (each counts once)."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode("utf-8").lower().split()
+    if not words:
+        return np.zeros(WORDS, dtype=np.uint64)
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
+    last = ends[min(width, len(words)) - 1 :] - 1
+    first = np.concatenate([[0], ends])[: len(last)]
+    h = np.unique(np.fromiter((xxh64_intdigest(line[a:b], SEED) for a, b in zip(first.tolist(), last.tolist())), dtype=np.uint64, count=len(last)))
+    ones = np.zeros((WORDS, BITS), dtype=np.int64)
+    for k, mix in enumerate(_MIX):
+        x = h ^ mix
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        for at in range(0, len(x), 1 << 16):
+            ones[k] += np.unpackbits(x[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(h), axis=1, bitorder="little").view("<u8").ravel()
+
+
+def wide_fingerprints(docs: DataFrame, width: int) -> DataFrame:
+    """``file, row, doc_id, w0..w3``; ``docs`` has file, row, doc_id and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = np.array([wide_fingerprint(t.as_py(), width) for t in batch.column(3)], dtype=np.uint64).reshape(-1, WORDS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(np.ascontiguousarray(c)) for c in made.T)], names=["file", "row", "doc_id", "w0", "w1", "w2", "w3"])
+
+    return docs.select("file", "row", "doc_id", "text").mapInArrow(run, "file string, row long, doc_id long, w0 long, w1 long, w2 long, w3 long")
+
+
+def most_bits(similarity: float) -> int:
+    """Bits by which 256-bit fingerprints of sets of this Jaccard similarity differ, 19 in 20 of them at most."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(np.floor(256 * share + 1.3 * np.sqrt(256 * share * (1 - share))))
+
+
+def wide_links(fps: DataFrame, bits: int, most: int = MOST) -> DataFrame:
+    """Links (u, v) of nodes whose wide fingerprints (node, w0..w3) differ in at most ``bits`` and in at most one bit of some band.
+
+    Each fingerprint meets others by either half of each band; within such a group the trie of the
+    band is walked with a budget of one bit. Groups larger than a task are cut into lots, and every two lots meet.
+    """
+    words = [f"w{k}" for k in range(WORDS)]
+    bands = []
+    for w in words:
+        for at in range(0, BITS, BAND):
+            band = f"(shiftrightunsigned({w}, {at}) & {(1 << BAND) - 1})"
+            turned = f"((({band}) & {(1 << HALF) - 1}) * {1 << HALF} + shiftright({band}, {HALF}))"
+            for half, key in enumerate((band, turned)):
+                bands.append(f"cast({len(bands)} * {1 << BAND} + {key} as int)")
+    rows = fps.select("node", *words, F.explode(F.expr(f"array({', '.join(bands)})")).alias("key")).withColumn("grp", F.shiftright("key", HALF))
+    sizes = rows.groupBy("grp").count().where(F.col("count") > most)
+    sizes, sizes_path = keep(sizes.select("grp", F.ceil(F.col("count") / (most // 2)).cast("int").alias("lots")), "large")
+    lot = F.pmod(F.xxhash64("node"), F.col("lots")).cast("int")
+    if sizes.take(1):
+        large = rows.join(F.broadcast(sizes), "grp").withColumns({"own": lot, "other": F.explode(F.sequence(F.lit(0), F.col("lots") - 1))})  # at most 16,384 groups there are
+        cut = large.select("node", *words, "key", "grp", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+        rows = rows.join(F.broadcast(sizes), "grp", "left_anti").select("node", *words, "key", "grp", F.lit(0).alias("a"), F.lit(0).alias("b")).unionByName(cut)
+    else:
+        rows = rows.select("node", *words, "key", "grp", F.lit(0).alias("a"), F.lit(0).alias("b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(part: pa.Table) -> pa.RecordBatch:
+            c = {n: part.column(n).to_numpy() for n in part.column_names}
+            new = (c["grp"][1:] != c["grp"][:-1]) | (c["a"][1:] != c["a"][:-1]) | (c["b"][1:] != c["b"][:-1])
+            starts = np.concatenate([[0], np.flatnonzero(new) + 1])
+            stops = np.append(starts[1:], len(new) + 1)
+            fp = [c[w] for w in words]
+            near = lambda i, j: sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int16) for w in fp) <= bits
+            label = np.arange(len(new) + 1)
+            band = c["key"].astype(np.uint64) << np.uint64(BITS - BAND)
+            pairs = np.stack([starts, stops, starts, stops, np.zeros_like(starts)], 1)
+            walk(band, pairs[stops - starts > 1], HALF, 1, near, label, BAND)
+            i = np.flatnonzero(label != np.arange(len(label)))
+            return pa.RecordBatch.from_arrays([pa.array(c["node"][i]), pa.array(c["node"][label[i]])], names=["u", "v"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < 3 * most:
+                continue
+            part = pa.Table.from_batches(held).combine_chunks()
+            g, a, b = (part.column(n).to_numpy() for n in ("grp", "a", "b"))
+            edge = np.flatnonzero((g[1:] != g[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+            if len(edge):
+                yield links(part.slice(0, int(edge[-1]) + 1))
+                part = part.slice(int(edge[-1]) + 1)
+            held = part.combine_chunks().to_batches()
+        if held:
+            yield links(pa.Table.from_batches(held).combine_chunks())
+
+    found = rows.repartition("grp", "a", "b").sortWithinPartitions("grp", "a", "b", "key").mapInArrow(run, "u long, v long")
+    made, _ = keep(found.distinct(), "links")
+    discard(fps.sparkSession, sizes_path)
+    return made
+
+
+def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` without near copies: of each group of linked texts the row with the smallest doc_id (null last) stays.
+
+    Texts link when their wide fingerprints over sets of ``width``-word shingles are as near as those of texts of this
+    Jaccard ``similarity``. Texts without words are one group.
+    """
+    from .sharding import addressed
+
+    rows = addressed(docs)
+    made, _ = keep(wide_fingerprints(rows.select("file", "row", F.col("record.doc_id").alias("doc_id"), F.col("record.text").alias("text")), width), "fingerprints")
+    words = [f"w{k}" for k in range(WORDS)]
+    # equal fingerprints are one node, numbered by a hash of all words
+    made = made.withColumn("node", F.xxhash64(*words))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "file", "row"))
+    each, _ = keep(made.groupBy("node", *words).agg(first.alias("first")), "distinct")
+    roots = components(wide_links(each, most_bits(similarity)))
+    stay = each.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select("first.file", "first.row")
+    return rows.join(stay, ["file", "row"], "left_semi").select(*(F.col("record").getField(c).alias(c) for c in docs.columns))
+
+
 def near_components(docs: DataFrame, width: int = 3, errors: int = 3) -> DataFrame:
     """``doc_id, fp, component_id`` of every document; linked fingerprints share a component."""
     made, _ = keep(fingerprints(docs, width), "fingerprints")
