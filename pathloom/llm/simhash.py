@@ -322,7 +322,7 @@ def wide_links(fps: DataFrame, bits: int, most: int = MOST) -> DataFrame:
             new = (c["grp"][1:] != c["grp"][:-1]) | (c["a"][1:] != c["a"][:-1]) | (c["b"][1:] != c["b"][:-1])
             starts = np.concatenate([[0], np.flatnonzero(new) + 1])
             stops = np.append(starts[1:], len(new) + 1)
-            fp = [c[w] for w in words]
+            fp = [c[w].view(np.uint64) for w in words]  # signed counts would be of absolute values
             near = lambda i, j: sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int16) for w in fp) <= bits
             label = np.arange(len(new) + 1)
             band = c["key"].astype(np.uint64) << np.uint64(BITS - BAND)
