@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bind_text, discard, keep, table
@@ -243,131 +243,132 @@ def near_links(fps: DataFrame, errors: int = 3, most: int = MOST) -> DataFrame:
     return links
 
 
-# ---- near copies: wide fingerprints -------------------------------------------------------
+# ---- near copies: exact similarity of shingle sets ----------------------------------------
 
-WORDS = 4  # 64-bit words of a wide fingerprint
-BAND = 16  # bits of a band; near copies differ in at most one bit of one of the bands
-HALF = BAND // 2
-_MIX = [np.uint64(k) for k in (0x0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+SAMPLED, SHARE = 8_000, 0.02  # documents in which frequent shingles are looked for: so many, or this share if more
+OFTEN, HOT = 4, 500_000  # a shingle in so many of them is hot; at most so many hot ones are held
 
 
-def wide_fingerprint(text: str | None, width: int) -> np.ndarray:
-    """256 bits over the set of shingles (each counts once)."""
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """The set of a text's shingles as sorted XXH64; fewer words than a shingle make one."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8").lower().split()
     if not words:
-        return np.zeros(WORDS, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64)
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
     last = ends[min(width, len(words)) - 1 :] - 1
     first = np.concatenate([[0], ends])[: len(last)]
-    h = np.unique(np.fromiter((xxh64_intdigest(line[a:b], SEED) for a, b in zip(first.tolist(), last.tolist())), dtype=np.uint64, count=len(last)))
-    ones = np.zeros((WORDS, BITS), dtype=np.int64)
-    for k, mix in enumerate(_MIX):
-        x = h ^ mix
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-        for at in range(0, len(x), 1 << 16):
-            ones[k] += np.unpackbits(x[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(h), axis=1, bitorder="little").view("<u8").ravel()
+    return np.unique(np.fromiter((xxh64_intdigest(line[a:b], SEED) for a, b in zip(first.tolist(), last.tolist())), dtype=np.uint64, count=len(last)))
 
 
-def wide_fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    """``file, row, doc_id, w0..w3``; ``docs`` has file, row, doc_id and text."""
+def _hot(docs: DataFrame, width: int) -> np.ndarray:
+    """The most frequent shingles of a sample, rarer ones first. They only set an order: results don't depend on them."""
+    n = docs.count()
+    part = max(1, n // max(SAMPLED, int(n * SHARE)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.array([wide_fingerprint(t.as_py(), width) for t in batch.column(3)], dtype=np.uint64).reshape(-1, WORDS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(np.ascontiguousarray(c)) for c in made.T)], names=["file", "row", "doc_id", "w0", "w1", "w2", "w3"])
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), width).view(np.int64))], names=["h"])
 
-    return docs.select("file", "row", "doc_id", "text").mapInArrow(run, "file string, row long, doc_id long, w0 long, w1 long, w2 long, w3 long")
+    some = docs.where(F.pmod(F.xxhash64("file", "row"), F.lit(part)) == 0).select("text")
+    often = some.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= OFTEN)
+    found = often.orderBy(F.desc("count"), "h").limit(HOT).select("h").toPandas()["h"]
+    return found.to_numpy(dtype=np.int64)[::-1].view(np.uint64)
 
 
-def most_bits(similarity: float) -> int:
-    """Bits by which 256-bit fingerprints of sets of this Jaccard similarity differ, 19 in 20 of them at most."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(np.floor(256 * share + 1.3 * np.sqrt(256 * share * (1 - share))))
+def _heads(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``file, row, doc_id, node, size, head``: a hash and the size of the set, and those of its shingles, first in an order
+    of all shingles (hot ones last), of which two sets of this similarity must share one."""
+    hot = _hot(docs, width)
+    order = np.argsort(hot)
+    sent = docs.sparkSession.sparkContext.broadcast((hot[order], order + 1))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
 
-def wide_links(fps: DataFrame, bits: int, most: int = MOST) -> DataFrame:
-    """Links (u, v) of nodes whose wide fingerprints (node, w0..w3) differ in at most ``bits`` and in at most one bit of some band.
+        known, rank = sent.value
+        for batch in batches:
+            node, size, head = [], [], []
+            for t in batch.column(3):
+                h = shingles(t.as_py(), width)
+                if len(known) and len(h):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    h = h[np.argsort(np.where(known[at] == h, rank[at], 0), kind="stable")]
+                node.append(xxh64_intdigest(np.sort(h).tobytes(), SEED))
+                size.append(len(h))
+                head.append(h[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1].view(np.int64))
+            made = [pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(head, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["file", "row", "doc_id", "node", "size", "head"])
 
-    Each fingerprint meets others by either half of each band; within such a group the trie of the
-    band is walked with a budget of one bit. Groups larger than a task are cut into lots, and every two lots meet.
-    """
-    words = [f"w{k}" for k in range(WORDS)]
-    bands = []
-    for w in words:
-        for at in range(0, BITS, BAND):
-            band = f"(shiftrightunsigned({w}, {at}) & {(1 << BAND) - 1})"
-            turned = f"((({band}) & {(1 << HALF) - 1}) * {1 << HALF} + shiftright({band}, {HALF}))"
-            for half, key in enumerate((band, turned)):
-                bands.append(f"cast({len(bands)} * {1 << BAND} + {key} as int)")
-    rows = fps.select("node", *words, F.explode(F.expr(f"array({', '.join(bands)})")).alias("key")).withColumn("grp", F.shiftright("key", HALF))
-    sizes = rows.groupBy("grp").count().where(F.col("count") > most)
-    sizes, sizes_path = keep(sizes.select("grp", F.ceil(F.col("count") / (most // 2)).cast("int").alias("lots")), "large")
-    lot = F.pmod(F.xxhash64("node"), F.col("lots")).cast("int")
-    if sizes.take(1):
-        large = rows.join(F.broadcast(sizes), "grp").withColumns({"own": lot, "other": F.explode(F.sequence(F.lit(0), F.col("lots") - 1))})  # at most 16,384 groups there are
-        cut = large.select("node", *words, "key", "grp", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
-        rows = rows.join(F.broadcast(sizes), "grp", "left_anti").select("node", *words, "key", "grp", F.lit(0).alias("a"), F.lit(0).alias("b")).unionByName(cut)
-    else:
-        rows = rows.select("node", *words, "key", "grp", F.lit(0).alias("a"), F.lit(0).alias("b"))
+    return docs.select("file", "row", "doc_id", "text").mapInArrow(run, "file string, row long, doc_id long, node long, size int, head array<long>")
+
+
+def _confirmed(pairs: DataFrame, each: DataFrame, docs: DataFrame, width: int, similarity: float) -> tuple[DataFrame, list[str]]:
+    """Those of the pairs of nodes (u, v) whose whole sets have this Jaccard similarity."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), width).tobytes() for t in batch.column(1)], pa.binary())], names=["node", "held"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(part: pa.Table) -> pa.RecordBatch:
-            c = {n: part.column(n).to_numpy() for n in part.column_names}
-            new = (c["grp"][1:] != c["grp"][:-1]) | (c["a"][1:] != c["a"][:-1]) | (c["b"][1:] != c["b"][:-1])
-            starts = np.concatenate([[0], np.flatnonzero(new) + 1])
-            stops = np.append(starts[1:], len(new) + 1)
-            fp = [c[w].view(np.uint64) for w in words]  # signed counts would be of absolute values
-            near = lambda i, j: sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int16) for w in fp) <= bits
-            label = np.arange(len(new) + 1)
-            band = c["key"].astype(np.uint64) << np.uint64(BITS - BAND)
-            pairs = np.stack([starts, stops, starts, stops, np.zeros_like(starts)], 1)
-            walk(band, pairs[stops - starts > 1], HALF, 1, near, label, BAND)
-            i = np.flatnonzero(label != np.arange(len(label)))
-            return pa.RecordBatch.from_arrays([pa.array(c["node"][i]), pa.array(c["node"][label[i]])], names=["u", "v"])
-
-        held: list[pa.RecordBatch] = []
         for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) < 3 * most:
-                continue
-            part = pa.Table.from_batches(held).combine_chunks()
-            g, a, b = (part.column(n).to_numpy() for n in ("grp", "a", "b"))
-            edge = np.flatnonzero((g[1:] != g[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-            if len(edge):
-                yield links(part.slice(0, int(edge[-1]) + 1))
-                part = part.slice(int(edge[-1]) + 1)
-            held = part.combine_chunks().to_batches()
-        if held:
-            yield links(pa.Table.from_batches(held).combine_chunks())
-
-    found = rows.repartition("grp", "a", "b").sortWithinPartitions("grp", "a", "b", "key").mapInArrow(run, "u long, v long")
-    made, _ = keep(found.distinct(), "links")
-    discard(fps.sparkSession, sizes_path)
-    return made
+            good = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                a, b = (np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in (a, b))
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                good.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
+            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    pairs, pairs_path = keep(pairs.distinct(), "pairs")
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    texts = each.join(nodes, "node").select("node", "first.file", "first.row").join(docs.select("file", "row", "text"), ["file", "row"]).select("node", "text")
+    held, held_path = keep(texts.mapInArrow(sets, "node long, held binary"), "sets")
+    both = pairs.join(held.select(F.col("node").alias("u"), F.col("held").alias("a")), "u").join(held.select(F.col("node").alias("v"), F.col("held").alias("b")), "v")
+    links, path = keep(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "links")
+    discard(docs.sparkSession, pairs_path, held_path)
+    return links, [path]
+
+
+def _may_reach(similarity: float) -> str:
+    """Whether two sets that share a shingle at places pos and pos2 of their orders can be this similar."""
+    most = "(least(pos, pos2) + 1 + least(size - pos, size2 - pos2) - 1)"
+    return f"least(size, size2) >= {similarity!r}D * greatest(size, size2) - 1e-9D AND {most} >= {similarity / (1 + similarity)!r}D * (size + size2) - 1e-9D"
 
 
 def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` without near copies: of each group of linked texts the row with the smallest doc_id (null last) stays.
 
-    Texts link when their wide fingerprints over sets of ``width``-word shingles are as near as those of texts of this
-    Jaccard ``similarity``. Texts without words are one group.
+    Texts link exactly when their sets of ``width``-word shingles have this Jaccard ``similarity`` or more; texts without
+    words are one group. Pairs meet by a shingle of their heads, so none is missed. First neighbours within a shingle are
+    compared, then what is not linked by then, so that groups of many near copies stay about linear.
     """
     from .sharding import addressed
 
+    spark = docs.sparkSession
     rows = addressed(docs)
-    made, _ = keep(wide_fingerprints(rows.select("file", "row", F.col("record.doc_id").alias("doc_id"), F.col("record.text").alias("text")), width), "fingerprints")
-    words = [f"w{k}" for k in range(WORDS)]
-    # equal fingerprints are one node, numbered by a hash of all words
-    made = made.withColumn("node", F.xxhash64(*words))
+    texts = rows.select("file", "row", F.col("record.doc_id").alias("doc_id"), F.col("record.text").alias("text"))
+    made, made_path = keep(_heads(texts, width, similarity), "heads")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "file", "row"))
-    each, _ = keep(made.groupBy("node", *words).agg(first.alias("first")), "distinct")
-    roots = components(wide_links(each, most_bits(similarity)))
+    each, _ = keep(made.groupBy("node").agg(first.alias("first"), F.first("size").alias("size"), F.first("head").alias("head")), "distinct")
+    discard(spark, made_path)
+    by = Window.partitionBy("key").orderBy("size", "node")
+    side = F.struct("node", "size", "pos")
+    heads = each.select("node", "size", F.posexplode("head").alias("pos", "key"))
+    heads = heads.withColumns({"before": F.lag(side).over(by), "after": F.lead("node").over(by)}).where("before IS NOT NULL OR after IS NOT NULL")
+    shared, shared_path = keep(heads.drop("after"), "shared")
+    reach = F.expr(_may_reach(similarity))
+    beside = shared.where("before IS NOT NULL").withColumns({"size2": F.col("before.size"), "pos2": F.col("before.pos")}).where(reach)
+    links, old = _confirmed(beside.select(F.col("before.node").alias("u"), F.col("node").alias("v")), each, texts, width, similarity)
+    named = shared.drop("before").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named, named_path = keep(named, "named")
+    other = named.select("key", *(F.col(c).alias(f"{c}2") for c in ("node", "size", "pos", "root")))
+    rest = named.join(other, "key").where("node < node2 AND root <> root2").where(reach)
+    more, old2 = _confirmed(rest.select(F.col("node").alias("u"), F.col("node2").alias("v")), each, texts, width, similarity)
+    roots = components(links.union(more))
+    discard(spark, shared_path, named_path, *old, *old2)
     stay = each.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select("first.file", "first.row")
     return rows.join(stay, ["file", "row"], "left_semi").select(*(F.col("record").getField(c).alias(c) for c in docs.columns))
 

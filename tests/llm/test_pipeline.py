@@ -34,6 +34,39 @@ def test_near_copies(spark):
     assert {r.doc_id for r in kept} == set(least.values())
 
 
+def remaining(texts, similarity=0.8):
+    """Smallest places of the groups of exact similarity, by brute force."""
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if not a | b or len(a & b) >= similarity * len(a | b):
+                low, high = sorted((find(i), find(j)))
+                root[high] = low
+    return {k for k in range(len(texts)) if find(k) == k}
+
+
+def kept_places(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id for r in simhash.one_of_each(docs).collect()}
+
+
+def test_similarity_decides_exactly(spark):
+    words = [f"w{k}" for k in range(5000)]
+    texts = []
+    for f, (shared, own) in enumerate([(40, 10), (39, 10), (160, 40), (160, 41), (60, 20), (65, 20), (300, 75), (300, 76)]):
+        base = words[f * 600 : f * 600 + shared + own + 4]
+        texts += [" ".join(base), " ".join(base[: shared + 4])]  # similarity shared / (shared + own)
+    want = remaining(texts)
+    assert want == {0, 2, 3, 4, 6, 7, 8, 9, 10, 11, 12, 14, 15}
+    assert kept_places(spark, texts) == want
+
+
 def test_stages(spark, odd_docs):
     pipeline = pytest.importorskip("corpus_pipeline")
     sf = "/root/testdata/sf0.01"
