@@ -67,6 +67,20 @@ def test_similarity_decides_exactly(spark):
     assert kept_places(spark, texts) == want
 
 
+def test_no_pair_is_missed(spark):
+    rng = random.Random(8)
+    texts = [t for n in range(1, 13) for _ in range(12) for t in short_pair(rng, n)]
+    want = remaining(texts)
+    assert 150 < len(want) < 220
+    assert kept_places(spark, texts) == want
+
+
+def short_pair(rng, n):
+    """Two texts of n shingles and of one or two more."""
+    base = [f"{rng.getrandbits(40):x}" for _ in range(n + 6)]
+    return " ".join(base[: n + 4]), " ".join(base[: n + rng.choice((5, 6))])
+
+
 def test_stages(spark, odd_docs):
     pipeline = pytest.importorskip("corpus_pipeline")
     sf = "/root/testdata/sf0.01"
