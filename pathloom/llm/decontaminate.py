@@ -6,7 +6,7 @@ to lower case. Windows of the benchmark's templates are hashed, and the windows
 by hash; so do windows of the plain folded words. What meets is aligned: along one alignment of a document
 with an item the slots must map one-to-one (3 -> 7 everywhere, and nothing else -> 7), or the windows that
 break it don't count. A document is contaminated by an item if at least ``share`` of the item's windows
-are found so. Re-parameterised questions, other numbers or names in the same words, are caught; a template
+are found so over all alignments together, or ``RUN`` of its words in a row. Re-parameterised questions, other numbers or names in the same words, are caught; a template
 must keep at least ``literal`` words of its window to count at all.
 
 The benchmark is indexed in lots of bounded size, each broadcast and met by all documents; one lot holds about
@@ -35,6 +35,7 @@ from .common import bind_text, table
 from .sentencepiece_agenda import groups_by_size
 
 WINDOW, LITERAL, SHARE = 8, 5, 0.5
+RUN = 30  # so many words of an item in a row contaminate, however long it is
 LOT_CHARS = 8_000_000
 CACHED = 600_000
 TOKENS = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?\n]").findall
@@ -143,6 +144,7 @@ class Index:
     """Windows of benchmark items, plain (0) and as templates (1), by width."""
 
     def __init__(self, items: list[tuple[int, str]], width: int = WINDOW, literal: int = LITERAL):
+        self.width = width
         self.items, self.views, self.tables, self.of = items, Canon()([t for _, t in items]), [], []
         for mode, view in enumerate(self.views):
             size, of = np.bincount(view.text, minlength=len(items)), np.zeros(len(items), dtype=int)
@@ -160,9 +162,9 @@ class Index:
                     self.tables.append((mode, w, hashes[at], at, seen))
             self.of.append(of.tolist())  # windows of each item that count
 
-    def find(self, texts: list[str | None], canon: Canon) -> dict[int, dict[int, tuple[int, int]]]:
-        """Per place of a text: item's place -> (windows found, mode)."""
-        out: dict[int, dict[int, tuple[int, int]]] = defaultdict(dict)
+    def find(self, texts: list[str | None], canon: Canon) -> dict[int, dict[int, tuple[int, int, int]]]:
+        """Per place of a text: item's place -> (windows found, mode, words of the longest verbatim run)."""
+        out: dict[int, dict[int, tuple[int, int, int]]] = defaultdict(dict)
         met = defaultdict(list)
         views = canon(texts)
         for mode, w, keys, places, seen in self.tables:
@@ -173,25 +175,42 @@ class Index:
             for a, lo, hi in zip(at.tolist(), first.tolist(), last.tolist()):
                 for x in places[lo:hi].tolist():
                     met[int(view.text[a]), int(self.views[mode].text[x]), mode, a - x].append((a, x, w))
+        good: dict[tuple[int, int, int], set[int]] = defaultdict(set)
+        run: dict[tuple[int, int], int] = defaultdict(int)
         for (d, item, mode, _), pairs in met.items():
-            n = consistent(views[mode], self.views[mode], pairs)
-            if n > out[d].get(item, (0, 0))[0]:
-                out[d][item] = (n, mode)
+            places = consistent(views[mode], self.views[mode], pairs)
+            good[d, item, mode].update(places)
+            if mode == 0:
+                run[d, item] = max(run[d, item], longest(places) + self.width - 1)
+        for (d, item, mode), places in sorted(good.items()):  # all alignments of a text with an item together
+            n, of = len(places), self.of[mode][item]
+            had = out[d].get(item)
+            if n and (not had or n * self.of[had[1]][item] > had[0] * of):
+                out[d][item] = (n, mode, run[d, item])
         return out
 
 
-def consistent(mine: View, theirs: View, pairs: list[tuple[int, int, int]]) -> int:
-    """Windows of one alignment whose words are the same and whose slots map one-to-one."""
-    to, back, n = {}, {}, 0
+def consistent(mine: View, theirs: View, pairs: list[tuple[int, int, int]]) -> list[int]:
+    """The item's windows of one alignment whose words are the same and whose slots map one-to-one."""
+    to, back, good = {}, {}, []
     for a, x, w in sorted(pairs):
-        n += 1
         for k in range(w):
             t = int(theirs.kind[x + k])
             u, v = (t, theirs.value(x + k)), (int(mine.kind[a + k]), mine.value(a + k))
             if u[0] != v[0] or (u != v if t == WORD else to.setdefault(u, v) != v or back.setdefault(v, u) != u):
-                n -= 1
                 break
-    return n
+        else:
+            good.append(x)
+    return good
+
+
+def longest(places: list[int]) -> int:
+    """Length of the longest run of successive places, given in order."""
+    best = n = 0
+    for k, x in enumerate(places):
+        n = n + 1 if k and x == places[k - 1] + 1 else 1
+        best = max(best, n)
+    return best
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, literal: int = LITERAL, share: float = SHARE, lot_chars: int = LOT_CHARS, hits: str = "hits") -> DataFrame:
@@ -228,8 +247,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, lit
                     for d, before in enumerate(had):
                         own = [
                             {"item_id": index.items[i][0], "windows": n, "of": index.of[mode][i], "reworded": mode == 1}
-                            for i, (n, mode) in found.get(d, {}).items()
-                            if n >= share * index.of[mode][i]
+                            for i, (n, mode, run) in found.get(d, {}).items()
+                            if n >= share * index.of[mode][i] or run >= RUN
                         ]
                         rows.append(sorted(before + own, key=lambda x: (x["item_id"] is None, x["item_id"] or 0)))
                     yield pa.RecordBatch.from_arrays([*batch.slice(start, len(part)).columns[:-1], pa.array(rows, kind)], names=batch.schema.names)

@@ -39,3 +39,14 @@ def test_clean_keeps_columns(spark, odd_docs):
     items = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
     out = D.clean(odd_docs, items)
     assert out.columns == odd_docs.columns and out.count() == odd_docs.count() - 5
+
+
+def test_windows_of_all_alignments_count_together(spark):
+    words = [f"w{'abcdefghij'[k // 10]}{'abcdefghij'[k % 10]}" for k in range(100)] + [f"v{c}" for c in "abcdefghijklmnopqrst"]
+    short, long = words[:30], words
+    items = [(1, " ".join(short)), (2, " ".join(f"x{w}" for w in long))]
+    texts = [
+        " ".join([*short[:15], "inserted", *short[15:]]), " ".join([*short[:14], *short[15:]]),
+        " ".join(f"x{w}" for w in long[20:70]), " ".join(f"x{w}" for w in long[20:45]), " ".join(short[:12]),
+    ]
+    assert found(spark, texts, items=items) == {0: [1], 1: [1], 2: [2], 3: [], 4: []}
