@@ -4,10 +4,10 @@ Texts are canonicalised into templates: numbers, names (capitalised words that d
 runs of them are one name) and units (after a number) become typed placeholders, other words are folded
 to lower case. Windows of the benchmark's templates are hashed, and the windows of every document meet them
 by hash; so do windows of the plain folded words. What meets is aligned: along one alignment of a document
-with an item the slots must map one-to-one (3 -> 7 everywhere, and nothing else -> 7), or the windows that
-break it don't count. A document is contaminated by an item if at least ``share`` of the item's windows
+with an item each slot must become one thing (3 -> 7 everywhere), or the windows that break it don't count. A document is contaminated by an item if at least ``share`` of the item's windows
 are found so over all alignments together, or ``RUN`` of its words in a row. Re-parameterised questions, other numbers or names in the same words, are caught; a template
-must keep at least ``literal`` words of its window to count at all.
+must keep at least ``literal`` words of its window to count; where most windows of an item don't, they are
+lengthened until they do, and an item without that many words is one window as a whole.
 
 The benchmark is indexed in lots of bounded size, each broadcast and met by all documents; one lot holds about
 ``LOT_CHARS`` characters, so small benchmarks take one pass and large ones as many as needed.
@@ -35,6 +35,7 @@ from .common import bind_text, table
 from .sentencepiece_agenda import groups_by_size
 
 WINDOW, LITERAL, SHARE = 8, 5, 0.5
+WHOLE = 4  # tokens of an item with few literal words that is one window
 RUN = 30  # so many words of an item in a row contaminate, however long it is
 LOT_CHARS = 8_000_000
 CACHED = 600_000
@@ -129,15 +130,22 @@ class View:
         return " ".join(self.tokens[k : end + 1]).lower()
 
 
-def windows(h: np.ndarray, text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rolling hashes of ``width`` tokens and which of them stay in one text."""
-    n = len(h) - width + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
-    out, prime = np.zeros(n, dtype=np.uint64), np.uint64(0x9E3779B97F4A7C15)
-    for k in range(width):
-        out = out * prime + h[k : k + n]
-    return out, text[:n] == text[width - 1 :]
+class Rolling:
+    """Hashes of the windows of a view, of any width at the same cost."""
+
+    def __init__(self, view: View):
+        n, prime = len(view.hash), 0x9E3779B97F4A7C15
+        back = pow(prime, -1, 1 << 64)
+        powers = lambda p: np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, p, dtype=np.uint64)]), dtype=np.uint64)
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(view.hash * powers(prime)[:n], dtype=np.uint64)])
+        self.back, self.text = powers(back), view.text
+
+    def __call__(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of ``width`` tokens and which of them stay in one text."""
+        n = len(self.text) - width + 1
+        if n <= 0:
+            return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
+        return (self.sums[width:] - self.sums[:n]) * self.back[:n], self.text[:n] == self.text[width - 1 :]
 
 
 class Index:
@@ -147,29 +155,49 @@ class Index:
         self.width = width
         self.items, self.views, self.tables, self.of = items, Canon()([t for _, t in items]), [], []
         for mode, view in enumerate(self.views):
-            size, of = np.bincount(view.text, minlength=len(items)), np.zeros(len(items), dtype=int)
-            literals = np.concatenate([[0], np.cumsum(view.kind == WORD)])
-            for w in range(1, width + 1):
-                hashes, whole = windows(view.hash, view.text, w)
-                at = np.flatnonzero(whole & ((size[view.text[: len(whole)]] == w) | (w == width)))
-                if mode:
-                    at = at[literals[at + w] - literals[at] >= min(literal, w)]
-                of += np.bincount(view.text[at], minlength=len(items))
-                if len(at):
-                    at = at[np.argsort(hashes[at], kind="stable")]
-                    seen = np.zeros(1 << 20, dtype=bool)
-                    seen[hashes[at] >> np.uint64(44)] = True
-                    self.tables.append((mode, w, hashes[at], at, seen))
-            self.of.append(of.tolist())  # windows of each item that count
+            at, wide = self.places(view, len(items), width, literal) if mode else self.places(view, len(items), width, 0)
+            self.of.append(np.bincount(view.text[at], minlength=len(items)).tolist())  # windows of each item that count
+            rolling = Rolling(view)
+            for w in np.unique(wide).tolist():
+                hashes, places = rolling(w)[0], at[wide == w]
+                places = places[np.argsort(hashes[places], kind="stable")]
+                seen = np.zeros(1 << 20, dtype=bool)
+                seen[hashes[places] >> np.uint64(44)] = True
+                self.tables.append((mode, w, hashes[places], places, seen))
+
+    @staticmethod
+    def places(view: View, n: int, width: int, literal: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where windows begin that count, and their widths.
+
+        Of items in which most windows have too few literal words, windows go on until they have enough;
+        an item that has too few for that is one window, if it has ``WHOLE`` tokens and two literal words.
+        """
+        size = np.bincount(view.text, minlength=n)
+        ends = np.cumsum(size)[view.text] if len(view.text) else view.text
+        each, literals = np.arange(len(view.text)), np.concatenate([[0], np.cumsum(view.kind == WORD)])
+        wide = np.minimum(width, size[view.text])
+        whole = each + wide <= ends
+        rich = whole & (literals[np.minimum(each + wide, len(each))] - literals[each] >= np.minimum(literal, wide))
+        total, enough = (np.bincount(view.text[x], minlength=n) for x in (whole, rich))
+        dense = whole & ~rich & (2 * enough < total)[view.text]
+        until = np.searchsorted(literals, literals[each] + literal)  # the first end with enough literal words
+        longer = dense & (until <= ends)
+        wide = np.where(longer, until - each, wide)
+        some = np.bincount(view.text[rich | longer], minlength=n)
+        alone = dense & (each == ends - size[view.text]) & (some == 0)[view.text] & (size[view.text] >= WHOLE) & (literals[ends] - literals[each] >= 2)
+        wide = np.where(alone, size[view.text], wide)
+        at = np.flatnonzero(rich | longer | alone)
+        return at, wide[at]
 
     def find(self, texts: list[str | None], canon: Canon) -> dict[int, dict[int, tuple[int, int, int]]]:
         """Per place of a text: item's place -> (windows found, mode, words of the longest verbatim run)."""
         out: dict[int, dict[int, tuple[int, int, int]]] = defaultdict(dict)
         met = defaultdict(list)
         views = canon(texts)
+        rolling = [Rolling(view) for view in views]
         for mode, w, keys, places, seen in self.tables:
             view = views[mode]
-            hashes, whole = windows(view.hash, view.text, w)
+            hashes, whole = rolling[mode](w)
             at = np.flatnonzero(seen[hashes >> np.uint64(44)] & whole)
             first, last = np.searchsorted(keys, hashes[at]), np.searchsorted(keys, hashes[at], side="right")
             for a, lo, hi in zip(at.tolist(), first.tolist(), last.tolist()):
@@ -191,15 +219,17 @@ class Index:
 
 
 def consistent(mine: View, theirs: View, pairs: list[tuple[int, int, int]]) -> list[int]:
-    """The item's windows of one alignment whose words are the same and whose slots map one-to-one."""
-    to, back, good = {}, {}, []
+    """The item's windows of one alignment whose words are the same and whose slots each become one thing."""
+    to, good = {}, []
     for a, x, w in sorted(pairs):
+        new = {}  # slots first met in this window: they hold only if all of it does
         for k in range(w):
             t = int(theirs.kind[x + k])
             u, v = (t, theirs.value(x + k)), (int(mine.kind[a + k]), mine.value(a + k))
-            if u[0] != v[0] or (u != v if t == WORD else to.setdefault(u, v) != v or back.setdefault(v, u) != u):
+            if u[0] != v[0] or (u != v if t == WORD else (to[u] if u in to else new.setdefault(u, v)) != v):
                 break
         else:
+            to |= new
             good.append(x)
     return good
 

@@ -50,3 +50,15 @@ def test_windows_of_all_alignments_count_together(spark):
         " ".join(f"x{w}" for w in long[20:70]), " ".join(f"x{w}" for w in long[20:45]), " ".join(short[:12]),
     ]
     assert found(spark, texts, items=items) == {0: [1], 1: [1], 2: [2], 3: [], 4: []}
+
+
+def test_dense_slots_and_forward_mapping(spark):
+    items = [
+        (1, "Add 12, 7, 3 and 9."), (2, "the shop sold 12 apples for 3 dollars in the morning"),
+        (3, "We sell 3 apples 4 pears 5 plums 6 figs 7 limes 8 kiwis 9 dates today"),
+    ]
+    texts = [
+        "Add 4, 8, 1 and 2.", "the shop sold 5 apples for 5 dollars in the morning", "so Add 12, 7, 3 and 9.",
+        "We sell 9 apples 8 pears 7 plums 6 figs 5 limes 4 kiwis 3 dates today", "Add 4 and 8.", "the shop sold 5 apples",
+    ]
+    assert found(spark, texts, items=items) == {0: [1], 1: [2], 2: [1], 3: [3], 4: [], 5: []}
