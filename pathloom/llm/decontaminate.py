@@ -1,7 +1,7 @@
 """Benchmark decontamination by templates.
 
-Texts are canonicalised into templates: numbers, names (capitalised words that don't begin a sentence;
-runs of them are one name) and units (after a number) become typed placeholders, other words are folded
+Texts are canonicalised into templates: numbers, names (capitalised words; runs of them are one name; words that
+begin a sentence are taken both literally and, function words apart, as names) and units (after a number) become typed placeholders, other words are folded
 to lower case. Windows of the benchmark's templates are hashed, and the windows of every document meet them
 by hash; so do windows of the plain folded words. What meets is aligned: along one alignment of a document
 with an item each slot must become one thing (3 -> 7 everywhere), or the windows that break it don't count. A document is contaminated by an item if at least ``share`` of the item's windows
@@ -53,6 +53,13 @@ UNITS = {
     }.items()
     for unit in units.split()
 }
+#: words that begin a sentence and are no names
+OPENERS = frozenset(
+    "a about after all also although am among an and another any are as at be because been before both but by can compute could did do does during each either "
+    "every few find first for from given had has have he hence her here his how however i if in into is it its let many me more most my neither no not now of on "
+    "one or other our over she since so some such suppose than that the their then there therefore these they this those though through thus to under until up was "
+    "we were what when where whether which while who whom whose why with without would you your".split()
+)
 HIT = "item_id long, windows int, of int, reworded boolean"
 
 
@@ -71,20 +78,22 @@ class Canon:
         self.kinds: list[int] = []
         self.plain: list[int] = []
         self.typed: list[int] = []
+        self.opener: list[bool] = []
 
     def learn(self, token: str) -> int:
         low = token.lower()
-        kind = ENDER if token in ".!?\n" else NUMBER if token[0].isdigit() else UNIT if low in UNITS else CAPITAL if token[0].isupper() and (token[1:].islower() or not token[1:]) else WORD
+        kind = ENDER if token in ".!?\n" else NUMBER if token[0].isdigit() else UNIT if low in UNITS else CAPITAL if token[0].isupper() and (not token.isupper() or not token[1:]) else WORD
         plain = self.hash(low)
         typed = self.number if kind == NUMBER else self.hash(f"<{UNITS[low]}>") if kind == UNIT else self.name if kind == CAPITAL else plain
         self.code[token] = code = len(self.kinds)
         self.kinds.append(kind)
         self.plain.append(plain)
         self.typed.append(typed)
+        self.opener.append(low in OPENERS)
         return code
 
-    def __call__(self, texts: list[str | None]) -> tuple[View, View]:
-        """The texts as plain words, and as templates."""
+    def __call__(self, texts: list[str | None]) -> tuple[View, View, View]:
+        """The texts as plain words, as templates, and as templates in which words that begin a sentence are names too."""
         if len(self.kinds) > CACHED:
             self.clear()
         split = [TOKENS(t) if t else [] for t in texts]
@@ -99,15 +108,15 @@ class Canon:
         words = kind != ENDER
         starts = np.concatenate([[True], text[1:] != text[:-1]])[: len(text)]
         before = np.where(starts, ENDER, np.concatenate([[ENDER], kind[:-1]])[: len(text)])
-        name = (kind == CAPITAL) & (before != ENDER)
-        slot = name | (kind == NUMBER) | ((kind == UNIT) & (before == NUMBER))
-        kind = np.where(name, NAME, np.where(slot, kind, WORD))
-        later = name & ~starts & np.concatenate([[False], name[:-1]])[: len(text)]
-        first, second = np.flatnonzero(words), np.flatnonzero(words & ~later)
-        return (
-            View(tokens, first, text[first], np.full(len(first), WORD, dtype=np.int8), plain[first], later),
-            View(tokens, second, text[second], kind[second], np.where(slot, typed, plain)[second], later),
-        )
+        inner = (kind == CAPITAL) & (before != ENDER)
+        first = np.flatnonzero(words)
+        views = [View(tokens, first, text[first], np.full(len(first), WORD, dtype=np.int8), plain[first], np.zeros(len(tokens), dtype=bool))]
+        for name in (inner, inner | (kind == CAPITAL) & ~np.array(self.opener, dtype=bool)[codes]):
+            slot = name | (kind == NUMBER) | ((kind == UNIT) & (before == NUMBER))
+            later = name & ~starts & np.concatenate([[False], name[:-1]])[: len(text)]
+            at = np.flatnonzero(words & ~later)
+            views.append(View(tokens, at, text[at], np.where(name, NAME, np.where(slot, kind, WORD))[at], np.where(slot, typed, plain)[at], later))
+        return tuple(views)
 
 
 @dataclass
@@ -149,7 +158,7 @@ class Rolling:
 
 
 class Index:
-    """Windows of benchmark items, plain (0) and as templates (1), by width."""
+    """Windows of benchmark items, plain (0), as templates (1) and as those with names at the beginning of sentences (2), by width."""
 
     def __init__(self, items: list[tuple[int, str]], width: int = WINDOW, literal: int = LITERAL):
         self.width = width
@@ -276,7 +285,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, lit
                     rows = []
                     for d, before in enumerate(had):
                         own = [
-                            {"item_id": index.items[i][0], "windows": n, "of": index.of[mode][i], "reworded": mode == 1}
+                            {"item_id": index.items[i][0], "windows": n, "of": index.of[mode][i], "reworded": mode > 0}
                             for i, (n, mode, run) in found.get(d, {}).items()
                             if n >= share * index.of[mode][i] or run >= RUN
                         ]

@@ -62,3 +62,16 @@ def test_dense_slots_and_forward_mapping(spark):
         "We sell 9 apples 8 pears 7 plums 6 figs 5 limes 4 kiwis 3 dates today", "Add 4 and 8.", "the shop sold 5 apples",
     ]
     assert found(spark, texts, items=items) == {0: [1], 1: [2], 2: [1], 3: [3], 4: [], 5: []}
+
+
+def test_names_that_begin_sentences(spark):
+    items = [
+        (1, "Alice bought 12 apples for 3 dollars. Bob sold 9 pears to Carol."), (2, "Peter has seven old red bikes."),
+        (3, "In the evening old McDonald gave the whole farm to young O'Neil for nothing."), (4, "The man is here"),
+    ]
+    texts = [
+        "Dora bought 7 apples for 5 dollars. Erik sold 4 pears to Fay.", "Maria has seven old red bikes.", "It was said that Maria has seven old red bikes.",
+        "In the evening old Smith gave the whole farm to young MacArthur for nothing.", "This man is here", "Dora bought apples. Erik sold 4 pears.", "Maria has seven new red bikes.",
+        "When Dora bought 7 apples for 5 dollars. Erik sold 4 pears to Fay.",
+    ]
+    assert found(spark, texts, items=items) == {0: [1], 1: [2], 2: [2], 3: [3], 4: [], 5: [], 6: [], 7: [1]}
