@@ -5,21 +5,31 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_FOLDERS: dict[str, str] = {}
+LOCAL = ("local", "local[")  # masters whose tasks share this machine's folders
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with scheme and authority, as Spark's own tables there are addressed (a bare one lies in the default filesystem)."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return full if full.startswith("file://") or not full.startswith("file:") else "file://" + full[len("file:") :]
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``; one of our own only where that is unset and all tasks run on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named.rstrip("/")
+        return qualified(spark, named.rstrip("/"))
+    if not spark.sparkContext.master.startswith(LOCAL) or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_FOLDERS:
         _OWN_FOLDERS[app] = "file://" + tempfile.mkdtemp(prefix="pathloom-")
@@ -51,7 +61,24 @@ def bind_text(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def open_uri(uri: str):
-    """(filesystem, path) of a uri, for tasks that write or read files of their own format."""
+    """(filesystem, path) of a qualified uri, for tasks that write or read files of their own format.
+
+    A path without a scheme is refused: it would mean the machine's own disk here and Spark's default filesystem there.
+    """
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    scheme, colon, rest = uri.partition(":")
+    if not colon or "/" in scheme:
+        raise ValueError(f"no scheme: {uri}")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + rest)
+
+
+def once(docs: DataFrame, name: str, value: Column) -> DataFrame:
+    """``docs`` with a column whose expression is evaluated once a row: what filters or reads it later is not merged into it.
+
+    A generator of one row lies above it: the optimizer moves no predicate below that and copies nothing out of it.
+    """
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.select(*kept, value.alias("_once")).select(*kept, F.explode(F.array("_once")).alias(name))

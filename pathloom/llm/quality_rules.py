@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bind_text, table
+from .common import bind_text, once, table
 
 MOST_ROWS = 6_000
 FOLDS = 5
@@ -173,9 +173,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Ensemble
 
 
 def with_score(docs: DataFrame, model: Ensemble, score: str = "score") -> DataFrame:
-    """``docs`` with the score of each row's text."""
+    """``docs`` with the score of each row's text; a later filter on the score doesn't compute the statistics again."""
     x = statistics(F.col("`text`"))
-    return docs.withColumn("_x", F.struct(*(c.alias(s) for s, c in x.items()))).withColumn(score, model.column({s: F.col(f"_x.{s}") for s in x})).drop("_x")
+    made = once(docs, "_x", F.struct(*(c.alias(s) for s, c in x.items())))
+    return made.withColumn(score, model.column({s: F.col(f"_x.{s}") for s in x})).drop("_x")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
