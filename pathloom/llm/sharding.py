@@ -44,7 +44,7 @@ def addressed(docs: DataFrame) -> DataFrame:
     """``record`` (all columns) and its address; stored first, unless it is a scan of files."""
     record = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("record")
     try:
-        return docs.select(record, F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+        return docs.select(record, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     except AnalysisException:
         return addressed(keep(docs.select(record), "records")[0]).select("record.record", "file", "row")
 
