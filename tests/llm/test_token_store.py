@@ -55,3 +55,46 @@ def test_odd_rows_and_many_files(spark, odd_docs, no_docs):
     assert manifest.count() > 2
     check(D.read(manifest, folder).collect(), odd_docs.collect())
     assert D.read(D.write(no_docs, PATH, folder), folder).collect() == []
+
+
+@given(st.text(alphabet="aBé.,!?;:$&*#%()-'<|>Σ́ \n", max_size=60))
+@settings(max_examples=400, deadline=None)
+def test_closing_marks_are_the_library(text):
+    assert np.frombuffer(OWN([text])[0], "<u4").tolist() == ids_of(text)[:-1]
+
+
+def test_a_difference_from_the_whole_text_is_an_error():
+    import pyarrow as pa
+    import pytest
+
+    own = D.WordEncoder(PATH)
+    own.batch(pa.array(["one two"]))
+    own.ids[0] += 1
+    with pytest.raises(ValueError):
+        own.batch(pa.array(["one two"]))
+
+
+def test_reader_seeks():
+    """One token reads the header, one chunk a level, one number of the directory and at most a block of bits."""
+    read = []
+
+    class Counting(D.Bytes):
+        def read_at(self, at, n):
+            read.append(n)
+            return super().read_at(at, n)
+
+    ids = np.random.default_rng(1).integers(0, 50_000, 200_000).astype(np.uint32)
+    data = D.TokenFile([7, None], np.array([0, 5, len(ids)]), D.encode_levels(ids)).dump()
+    file = D.TokenReader(Counting(data))
+    for k in (0, 511, 512, 199_999):
+        read.clear()
+        assert file.token(k) == ids[k] and sum(read) < 200
+    assert file.ids_of(1, 2) == [None] and file.starts(1, 3).tolist() == [5, len(ids)]
+    assert file.tokens(5, 5).tolist() == [] and file.tokens(510, 1030).tolist() == ids[510:1030].tolist()
+
+
+def test_runs_of_documents(spark, monkeypatch):
+    monkeypatch.setattr(D, "RUN_TOKENS", 3)
+    docs = spark.createDataFrame([(k, "a b " * (k % 5)) for k in range(40)], "doc_id long, text string")
+    folder = new_path(spark, "tokens")
+    check(D.read(D.write(docs, PATH, folder), folder).collect(), docs.collect())
