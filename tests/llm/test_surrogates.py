@@ -58,3 +58,94 @@ def test_query_against_brute_force(spark, sf):
 
 def test_empty(spark):
     assert run(spark, []) == {}
+
+
+def test_persons_keep_coreference_and_gender(spark):
+    texts = [
+        "Mr. Olga Petrova wrote. Olga Petrova signed; OLGA PETROVA too, said Petrova.", "I met Barbara Miller and Dr. Susan B. Clark. Miller and Clark agreed.", "Николай Петров и Ольга Петрова пришли. Петров ушёл.",
+        "my name is Zbigniew Kowalczyk, truly. Kowalczyk it is.", "Grace Period, Clara Haus, Victor Weg, the Then of And.", "Mrs Kim Lee and Kim Lee", "Barbara Stone", "Grace Miller came. Grace be with you.",
+    ]
+    out = {k: r.text for k, r in run(spark, texts, key="k").items()}
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) wrote\. (\w+) (\w+) signed; (\w+) (\w+) too, said (\w+)\.", out[0])
+    given, family = m[1], m[2]
+    assert (m[3], m[4], m[7]) == (given, family, family) and given != "Olga" and given in set(" ".join(S.FIRST["latin", "f"].split()).split()) | {given}
+    m = re.fullmatch(r"I met (\w+) (\w+) and Dr\. (\w+) B\. (\w+)\. (\w+) and (\w+) agreed\.", out[1])
+    assert (m[5], m[6]) == (m[2], m[4]) and not {"Barbara", "Miller", "Susan", "Clark"} & set(m.groups())
+    m = re.fullmatch(r"([А-Яа-яё]+) ([А-Яа-яё]+(?:ов|ев|ин)) и ([А-Яа-яё]+) ([А-Яа-яё]+(?:ова|ева|ина)) пришли\. ([А-Яа-яё]+) ушёл\.", out[2])
+    assert m and m[5] == m[2] and "Петров" not in out[2]
+    m = re.fullmatch(r"my name is (\w+) (\w+), truly\. (\w+) it is\.", out[3])
+    assert m and m[3] == m[2] != "Kowalczyk"
+    assert out[4] == texts[4]
+    m = re.fullmatch(r"Mrs (\w+) (\w+) and (\w+) (\w+)", out[5])
+    assert m[1] == m[3] and m[2] == m[4]
+    assert out[6].split()[0] == re.match(r"I met (\w+)", out[1])[1]
+    assert out[7].endswith(" came. Grace be with you.") and "Miller" not in out[7] and out[7].split()[1] == re.match(r"I met \w+ (\w+)", out[1])[1]
+    assert out != {k: r.text for k, r in run(spark, texts, key="other").items()}
+
+
+def test_spellings_of_a_phone_are_one(spark):
+    out = run(spark, ["+1 743 555 3824", "(743) 555-3824", "743-555-3824", "743 555 3824", "+49 30 1234567", "030 1234567", "+1 (743) 555-3825"])
+    digits = [re.sub(r"\D", "", out[k].text) for k in range(7)]
+    assert digits[0][0] == "1" and {d[-10:] for d in digits[:4]} == {digits[0][1:]} and digits[0][1:] != "7435553824"
+    assert digits[4].startswith("49") and digits[5].startswith("0") and digits[6] != digits[0]
+    assert re.fullmatch(r"\(\d{3}\) \d{3}-\d{4}", out[1].text) and re.fullmatch(r"\+49 \d\d \d{7}", out[4].text)
+
+
+def iban_ok(iban):
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+
+#: of each type how an entity is made, and what its surrogate must look like
+MAKERS = {
+    "iban": (lambda r: f"DE{r.randint(10, 99)} " + " ".join(f"{r.randint(0, 9999):04d}" for _ in range(4)) + f" {r.randint(10, 99)}", lambda t: re.fullmatch(r"DE\d\d( \d{4}){4} \d\d", t) and iban_ok(t.replace(" ", ""))),
+    "ssn": (lambda r: f"{r.randint(100, 999)}-{r.randint(10, 99)}-{r.randint(1000, 9999)}", lambda t: re.fullmatch(r"\d{3}-\d\d-\d{4}", t)),
+    "aws": (lambda r: "AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)), lambda t: re.fullmatch(r"AKIA[A-Z0-9]{16}", t)),
+    "password": (lambda r: f"{r.getrandbits(72):018x}", lambda t: re.fullmatch(r"[0-9a-f]{18}|[0-9a-z]{18}", t)),
+    "ip6": (lambda r: ":".join(f"{r.randint(4096, 65535):x}" for _ in range(8)), lambda t: re.fullmatch(r"([0-9a-f]{4}:){7}[0-9a-f]{4}", t)),
+    "short ip6": (lambda r: f"2001:db8:{r.randint(1, 9999)}::{r.randint(1, 9999)}", lambda t: re.fullmatch(r"[0-9a-f]+:[0-9a-f]+:[0-9a-f]+::[0-9a-f]+", t)),
+    "name": (lambda r: f"Mrs {r.choice(['Anna', 'Zora', 'Beatrix'])} {''.join(r.choice('abcdefghij') for _ in range(7)).title()}", lambda t: re.fullmatch(r"Mrs [A-Z][a-z]+ [A-Z][a-z]+", t)),
+}
+
+
+def test_every_type_against_planted_entities(spark):
+    import random
+
+    rng, rows, planted = random.Random(6), [], []
+    for k in range(420):
+        kind = list(MAKERS)[k % len(MAKERS)]
+        old = MAKERS[kind][0](rng) if rng.random() < 0.8 or k < 50 else planted[k - 7 * (k // 7 % 5 + 1)][1]
+        before, after = ("so password=" if kind == "password" else "some words, "), rng.choice([" and more.", ", end", ""])
+        rows.append(before + old + after)
+        planted.append((kind, old, before, after))
+    out, given = run(spark, rows), {}
+    for k, (kind, old, before, after) in enumerate(planted):
+        text = out[k].text
+        assert text.startswith(before) and text.endswith(after), (rows[k], text)
+        new = text[len(before) : len(text) - len(after)]
+        assert MAKERS[kind][1](new) and new != old, (rows[k], text)
+        assert given.setdefault(old, new) == new
+    assert len(set(given.values())) == len(given)
+
+
+def test_long_runs_do_not_break_the_matcher(spark):
+    texts = ["a@" + ".".join(["b1"] * 60_000), "x@" + "y" * 100_000, "1 " * 50_000, "A." * 50_000, "Mr " * 30_000, ":" * 50_000 + "1:2" * 20_000, "password=" * 5_000]
+    out = run(spark, texts)
+    assert out[0].text != texts[0] and out[0].text.endswith(".example") and out[1].text == texts[1]
+
+
+def test_written_names_are_distinct(spark):
+    texts = [f"Mr Adam {''.join('abcdefghij'[int(c)] for c in f'{k:04d}').title()}" for k in range(300)] + [f"Mrs {''.join('klmnopqrst'[int(c)] for c in f'{k:04d}').title()} Adams" for k in range(300)]
+    out = run(spark, texts)
+    assert len({r.text.split(" ", 1)[1] for r in out.values()}) == 600
+
+
+def test_no_python_on_the_executors_and_no_constant_key(spark):
+    frame = spark.createDataFrame([(1, "a@b.com")], "doc_id long, text string")
+    plan = S.replace_entities(frame)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+    assert S.session_key(spark) == S.session_key(spark) and len(S.session_key(spark)) == 64
+    spark.conf.set(S.KEY_CONF, "given")
+    try:
+        assert S.session_key(spark) == "given"
+    finally:
+        spark.conf.unset(S.KEY_CONF)
