@@ -84,17 +84,19 @@ def once(docs: DataFrame, name: str, value: Column) -> DataFrame:
     return docs.select(*kept, value.alias("_once")).select(*kept, F.explode(F.array("_once")).alias(name))
 
 
-def join_hot(many: DataFrame, few: DataFrame, keys: list[str], how: str = "inner", parts: int = 1000) -> DataFrame:
+def join_hot(many: DataFrame, few: DataFrame, keys: list[str], how: str = "inner", parts: int = 1000, counts: DataFrame | None = None) -> DataFrame:
     """``many`` joined with ``few``, which has a row or none for each key, where keys of ``many`` may be hot.
 
     Keys with over 1/``parts`` of the rows, of which there are fewer than ``parts``, are joined by broadcast; the rest shuffles, no
-    key of which has more rows than that. ``many`` and ``few`` should be stored tables, as they are read twice.
+    key of which has more rows than that. ``many`` and ``few`` should be stored tables, as they are read twice; ``counts``
+    (keys, ``_n``) may give the rows of the keys that can be hot.
     """
-    counts = many.groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = many.count()
+    if counts is None:
+        counts = many.groupBy(*keys).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
     hot, _ = keep(counts.where(F.col("_n") > F.lit(max(total / parts, 1000))).select(*keys), "hot")  # a thousand rows are no burden
-    rest = many.join(F.broadcast(hot), keys, "left_anti").join(few, keys, how)
     if not hot.take(1):
         return many.join(few, keys, how)
+    rest = many.join(F.broadcast(hot), keys, "left_anti").join(few, keys, how)
     few_hot = few.join(F.broadcast(hot), keys, "left_semi")
     return many.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(few_hot), keys, how).unionByName(rest)

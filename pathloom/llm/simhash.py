@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bind_text, discard, keep, table
+from .common import bind_text, discard, join_hot, keep, table
 from .components import components
 
 BITS = 64
@@ -332,10 +332,48 @@ def _confirmed(pairs: DataFrame, each: DataFrame, docs: DataFrame, width: int, s
     return links, [path]
 
 
-def _may_reach(similarity: float) -> str:
-    """Whether two sets that share a shingle at places pos and pos2 of their orders can be this similar."""
-    most = "(least(pos, pos2) + 1 + least(size - pos, size2 - pos2) - 1)"
-    return f"least(size, size2) >= {similarity!r}D * greatest(size, size2) - 1e-9D AND {most} >= {similarity / (1 + similarity)!r}D * (size + size2) - 1e-9D"
+CHUNK = 100_000  # rows of a shingle in which neighbours are looked for in one task
+
+
+def _reaches(similarity: float) -> str:
+    """Whether two sets whose first common shingle is at places pos and pos2 of their orders can be this similar."""
+    return f"least(size, size2) >= {similarity!r}D * greatest(size, size2) - 1e-9D AND least(size - pos, size2 - pos2) >= {similarity / (1 + similarity)!r}D * (size + size2) - 1e-9D"
+
+
+def _meeting(each: DataFrame, similarity: float) -> tuple[DataFrame, list[str]]:
+    """``node, size, pos, key, chunk`` of the places of heads at which another set may be met.
+
+    A set can only be similar to sets up to a size ``most`` that first share its shingle at ``pos``; places for which
+    no set of that shingle is small enough, or none reaches this one's size, fall out before anything is paired.
+    """
+    most = (F.col("size") - F.col("pos")) * (1 + similarity) / similarity - F.col("size") + 1e-6
+    heads = each.select("node", "size", F.posexplode("head").alias("pos", "key")).withColumn("most", most)
+    of_key, path = keep(heads.groupBy("key").agg(F.count("*").alias("n"), F.min("size").alias("lo"), F.max("most").alias("hi")).where("n > 1"), "keys")
+    met = join_hot(heads, of_key, ["key"], counts=of_key.select("key", F.col("n").alias("_n"))).where("most >= lo AND size <= hi")
+    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CHUNK)).cast("int")
+    live, live_path = keep(met.select("node", "size", "pos", "key", chunk.alias("chunk")), "live")
+    return live, [path, live_path]
+
+
+def _neighbours(live: DataFrame) -> DataFrame:
+    """Pairs (u, v, size, pos, size2, pos2): neighbours by size within a chunk of a shingle, and first ones of neighbouring chunks."""
+    side = F.struct("size", "node", "pos")
+    inside = live.select("key", side.alias("a"), F.lag(side).over(Window.partitionBy("key", "chunk").orderBy("size", "node")).alias("b"))
+    firsts = live.groupBy("key", "chunk").agg(F.min(side).alias("a"))
+    across = firsts.select("key", "a", F.lag("a").over(Window.partitionBy("key").orderBy("chunk")).alias("b"))
+    pairs = inside.unionByName(across).where("b IS NOT NULL")
+    return pairs.select(F.col("b.node").alias("u"), F.col("a.node").alias("v"), "a.size", "a.pos", F.col("b.size").alias("size2"), F.col("b.pos").alias("pos2"))
+
+
+def _apart(live: DataFrame, roots: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Pairs within a shingle that are not linked so far: all that don't belong to its largest class against everything."""
+    named, path = keep(live.drop("chunk").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
+    of_key = named.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count("*").alias("roots"), F.sum("n").alias("_n"))
+    of_key, key_path = keep(of_key.where("roots > 1"), "keys")
+    mixed, mixed_path = keep(join_hot(named, of_key.select("key", "top"), ["key"], counts=of_key.select("key", "_n")), "mixed")
+    other = mixed.select("key", *(F.col(c).alias(f"{c}2") for c in ("node", "size", "pos", "root")))
+    pairs = mixed.where("root <> top").join(other, "key").where("root <> root2 AND (root2 = top OR node < node2)")
+    return pairs.select(F.col("node").alias("u"), F.col("node2").alias("v"), "size", "pos", "size2", "pos2"), [path, key_path, mixed_path]
 
 
 def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -352,36 +390,35 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     texts = rows.select("file", "row", F.col("record.doc_id").alias("doc_id"), F.col("record.text").alias("text"))
     made, made_path = keep(_heads(texts, width, similarity), "heads")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "file", "row"))
-    each, _ = keep(made.groupBy("node").agg(first.alias("first"), F.first("size").alias("size"), F.first("head").alias("head")), "distinct")
+    each, each_path = keep(made.groupBy("node").agg(first.alias("first"), F.first("size").alias("size"), F.first("head").alias("head")), "distinct")
     discard(spark, made_path)
-    by = Window.partitionBy("key").orderBy("size", "node")
-    side = F.struct("node", "size", "pos")
-    heads = each.select("node", "size", F.posexplode("head").alias("pos", "key"))
-    heads = heads.withColumns({"before": F.lag(side).over(by), "after": F.lead("node").over(by)}).where("before IS NOT NULL OR after IS NOT NULL")
-    shared, shared_path = keep(heads.drop("after"), "shared")
-    reach = F.expr(_may_reach(similarity))
-    beside = shared.where("before IS NOT NULL").withColumns({"size2": F.col("before.size"), "pos2": F.col("before.pos")}).where(reach)
-    links, old = _confirmed(beside.select(F.col("before.node").alias("u"), F.col("node").alias("v")), each, texts, width, similarity)
-    named = shared.drop("before").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named, named_path = keep(named, "named")
-    other = named.select("key", *(F.col(c).alias(f"{c}2") for c in ("node", "size", "pos", "root")))
-    rest = named.join(other, "key").where("node < node2 AND root <> root2").where(reach)
-    more, old2 = _confirmed(rest.select(F.col("node").alias("u"), F.col("node2").alias("v")), each, texts, width, similarity)
-    roots = components(links.union(more))
-    discard(spark, shared_path, named_path, *old, *old2)
+    live, old = _meeting(each, similarity)
+    reach = F.expr(_reaches(similarity))
+    links, more = _confirmed(_neighbours(live).where(reach).select("u", "v"), each, texts, width, similarity)
+    old += more
+    apart, more = _apart(live, components(links))
+    old += more
+    rest, more = _confirmed(apart.where(reach).select("u", "v"), each, texts, width, similarity)
+    old += more
+    roots = components(links.union(rest))
     stay = each.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select("first.file", "first.row")
+    stay, _ = keep(stay, "stay")
+    discard(spark, each_path, *old)
     return rows.join(stay, ["file", "row"], "left_semi").select(*(F.col("record").getField(c).alias(c) for c in docs.columns))
 
 
 def near_components(docs: DataFrame, width: int = 3, errors: int = 3) -> DataFrame:
     """``doc_id, fp, component_id`` of every document; linked fingerprints share a component."""
     made, _ = keep(fingerprints(docs, width), "fingerprints")
-    each, each_path = keep(made.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    each, each_path = keep(made.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     roots = components(near_links(each.select("fp"), errors))
     named = each.join(roots, each.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named, named_path = keep(named, "named")
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.join(smallest, "root").select("fp", "component_id")
-    return made.join(of, "fp").select("doc_id", "fp", "component_id")
+    of, _ = keep(named.join(smallest, "root").select("fp", "component_id"), "classes")
+    found = join_hot(made, of, ["fp"], counts=each.select("fp", F.col("n").alias("_n"))).select("doc_id", "fp", "component_id")
+    discard(docs.sparkSession, each_path, named_path)
+    return found
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

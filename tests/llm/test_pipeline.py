@@ -107,3 +107,27 @@ def test_run(spark, sf):
     rows = pipeline.run(spark, sf).collect()
     n = spark.read.parquet(f"{sf}/documents.parquet").count()
     assert 0.4 * n < len(rows) < n and all(r.n_tokens == len(r.ids) for r in rows)
+
+
+def test_hot_shingles_are_exact_and_not_squared(spark, monkeypatch):
+    """A passage that makes up most of many texts, and a crowd of near copies, in chunks."""
+    monkeypatch.setattr(simhash, "CHUNK", 16)
+    rng = random.Random(3)
+    word = lambda: f"{rng.getrandbits(40):x}"
+    passage, base = [word() for _ in range(50)], [word() for _ in range(300)]
+    texts = [" ".join([word() for _ in range(rng.randint(6, 16))] + passage) for _ in range(150)]
+    for _ in range(150):
+        copy = list(base)
+        copy[rng.randrange(300)] = word()
+        texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    assert kept_places(spark, texts) == remaining(texts)
+    compared, real = [], simhash._confirmed
+
+    def counting(pairs, *rest):
+        compared.append(pairs.distinct().count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "_confirmed", counting)
+    kept_places(spark, [t for t in texts if len(t.split()) == 300])
+    assert compared[0] < 150 * 60 and compared[1] == 0  # all are linked by neighbours; no pair is left
