@@ -84,6 +84,11 @@ def once(docs: DataFrame, name: str, value: Column) -> DataFrame:
     return docs.select(*kept, value.alias("_once")).select(*kept, F.explode(F.array("_once")).alias(name))
 
 
+def join_few(many: DataFrame, few: DataFrame, keys: list[str], how: str = "inner", most: int = 200_000) -> DataFrame:
+    """``many`` joined with a stored table, by broadcast if that is counted to have at most ``most`` rows (of a few hundred bytes), else by shuffle."""
+    return many.join(F.broadcast(few) if few.count() <= most else few, keys, how)
+
+
 def join_hot(many: DataFrame, few: DataFrame, keys: list[str], how: str = "inner", parts: int = 1000, counts: DataFrame | None = None) -> DataFrame:
     """``many`` joined with ``few``, which has a row or none for each key, where keys of ``many`` may be hot.
 

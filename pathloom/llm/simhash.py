@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bind_text, discard, join_hot, keep, table
+from .common import bind_text, discard, join_few, join_hot, keep, table
 from .components import components
 
 BITS = 64
@@ -280,8 +280,8 @@ def _hot(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def _heads(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """``file, row, doc_id, node, size, head``: a hash and the size of the set, and those of its shingles, first in an order
-    of all shingles (hot ones last), of which two sets of this similarity must share one."""
+    """``file, row, doc_id, node, size, head, last``: a hash and the size of the set, and those of its shingles, first in an order
+    of all shingles (hot ones last), of which two sets of this similarity must share one; ``last`` is the head's end in that order."""
     hot = _hot(docs, width)
     order = np.argsort(hot)
     sent = docs.sparkSession.sparkContext.broadcast((hot[order], order + 1))
@@ -291,19 +291,37 @@ def _heads(docs: DataFrame, width: int, similarity: float) -> DataFrame:
 
         known, rank = sent.value
         for batch in batches:
-            node, size, head = [], [], []
+            node, size, head, last = [], [], [], []
             for t in batch.column(3):
                 h = shingles(t.as_py(), width)
+                node.append(xxh64_intdigest(h.tobytes(), SEED))
+                place = np.zeros(len(h), dtype=np.int64)
                 if len(known) and len(h):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    h = h[np.argsort(np.where(known[at] == h, rank[at], 0), kind="stable")]
-                node.append(xxh64_intdigest(np.sort(h).tobytes(), SEED))
+                    place = np.where(known[at] == h, rank[at], 0)
+                    order = np.argsort(place, kind="stable")
+                    h, place = h[order], place[order]
+                k = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1
                 size.append(len(h))
-                head.append(h[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1].view(np.int64))
+                head.append(h[:k].view(np.int64))
+                last.append({"place": int(place[:k][-1]), "hash": int(h[:k][-1]) - (1 << 63)} if len(h) else None)  # hashes are in unsigned order
             made = [pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(head, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["file", "row", "doc_id", "node", "size", "head"])
+            made.append(pa.array(last, pa.struct([("place", pa.int64()), ("hash", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["file", "row", "doc_id", "node", "size", "head", "last"])
 
-    return docs.select("file", "row", "doc_id", "text").mapInArrow(run, "file string, row long, doc_id long, node long, size int, head array<long>")
+    return docs.select("file", "row", "doc_id", "text").mapInArrow(run, "file string, row long, doc_id long, node long, size int, head array<long>, last struct<place: long, hash: long>")
+
+
+def _plausible(pairs: DataFrame, each: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (u, v) whose heads don't rule this similarity out.
+
+    What two sets share up to the end of the head that ends first lies in both heads; beyond, they share at most the rest of that set.
+    """
+    of = lambda n: each.select(F.col("node").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in ("size", "head", "last")))
+    both = F.size(F.array_intersect("head_u", "head_v"))
+    rest = F.when(F.col("last_u") <= F.col("last_v"), F.col("size_u") - F.size("head_u")).otherwise(F.col("size_v") - F.size("head_v"))
+    enough = both + rest >= (F.col("size_u") + F.col("size_v")) * (similarity / (1 + similarity)) - 1e-9
+    return pairs.distinct().join(of("u"), "u").join(of("v"), "v").where(enough).select("u", "v")
 
 
 def _confirmed(pairs: DataFrame, each: DataFrame, docs: DataFrame, width: int, similarity: float) -> tuple[DataFrame, list[str]]:
@@ -322,13 +340,14 @@ def _confirmed(pairs: DataFrame, each: DataFrame, docs: DataFrame, width: int, s
                 good.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    pairs, pairs_path = keep(pairs.distinct(), "pairs")
+    pairs, pairs_path = keep(_plausible(pairs, each, similarity), "pairs")
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    texts = each.join(nodes, "node").select("node", "first.file", "first.row").join(docs.select("file", "row", "text"), ["file", "row"]).select("node", "text")
+    places, places_path = keep(each.join(nodes, "node").select("node", "first.file", "first.row"), "places")
+    texts = join_few(docs.select("file", "row", "text"), places, ["file", "row"]).select("node", "text")
     held, held_path = keep(texts.mapInArrow(sets, "node long, held binary"), "sets")
     both = pairs.join(held.select(F.col("node").alias("u"), F.col("held").alias("a")), "u").join(held.select(F.col("node").alias("v"), F.col("held").alias("b")), "v")
     links, path = keep(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "links")
-    discard(docs.sparkSession, pairs_path, held_path)
+    discard(docs.sparkSession, pairs_path, places_path, held_path)
     return links, [path]
 
 
@@ -390,8 +409,7 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     texts = rows.select("file", "row", F.col("record.doc_id").alias("doc_id"), F.col("record.text").alias("text"))
     made, made_path = keep(_heads(texts, width, similarity), "heads")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "file", "row"))
-    each, each_path = keep(made.groupBy("node").agg(first.alias("first"), F.first("size").alias("size"), F.first("head").alias("head")), "distinct")
-    discard(spark, made_path)
+    each, each_path = keep(made.groupBy("node").agg(first.alias("first"), F.first("size").alias("size"), F.first("head").alias("head"), F.first("last").alias("last")), "distinct")
     live, old = _meeting(each, similarity)
     reach = F.expr(_reaches(similarity))
     links, more = _confirmed(_neighbours(live).where(reach).select("u", "v"), each, texts, width, similarity)
@@ -402,9 +420,9 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     old += more
     roots = components(links.union(rest))
     stay = each.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select("first.file", "first.row")
-    stay, _ = keep(stay, "stay")
-    discard(spark, each_path, *old)
-    return rows.join(stay, ["file", "row"], "left_semi").select(*(F.col("record").getField(c).alias(c) for c in docs.columns))
+    gone, _ = keep(made.select("file", "row").join(stay, ["file", "row"], "left_anti"), "gone")
+    discard(spark, made_path, each_path, *old)
+    return join_few(rows, gone, ["file", "row"], "left_anti").select(*(F.col("record").getField(c).alias(c) for c in docs.columns))
 
 
 def near_components(docs: DataFrame, width: int = 3, errors: int = 3) -> DataFrame:
