@@ -32,13 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bind_text, table
-from .sentencepiece_agenda import groups_by_size
+from .token_store import groups
 
 WINDOW, LITERAL, SHARE = 8, 5, 0.5
 WHOLE = 4  # tokens of an item with few literal words that is one window
 RUN = 30  # so many words of an item in a row contaminate, however long it is
 LOT_CHARS = 8_000_000
-CACHED = 600_000
+CACHED = 200_000  # words that a worker remembers; then it forgets all
+PART = 1_500_000  # characters looked at together
 TOKENS = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?\n]").findall
 WORD, CAPITAL, NUMBER, UNIT, ENDER, NAME = range(6)
 UNITS = {
@@ -279,7 +280,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, lit
             kind = pa.list_(pa.struct([("item_id", pa.int64()), ("windows", pa.int32()), ("of", pa.int32()), ("reworded", pa.bool_())]))
             for batch in batches:
                 start = 0
-                for part in groups_by_size(batch.column(at).to_pylist()):
+                for texts in groups(batch.column(at), PART):
+                    part = texts.to_pylist()
                     found = index.find(part, canon) if index.items else {}
                     had = batch.column(batch.num_columns - 1).slice(start, len(part)).to_pylist()
                     rows = []

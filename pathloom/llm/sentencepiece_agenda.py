@@ -9,8 +9,9 @@ become byte pieces.
 
 Short segments go through the agenda side by side, one lane each, and every round pops the best
 pair of all lanes; long ones use a heap. New segments of each Arrow batch are compared with the
-sentencepiece library, which also decodes; ``agreed`` tells whether any segment of the document
-differed (the library's ids are then taken).
+sentencepiece library, which also decodes, and so is one whole text of it: a difference is an error, never mended silently.
+Only byte-fallback models of merge type that neither fold nor collapse white space are accepted; their normalizer is tried out
+when the model is loaded.
 
 Defined results: a null or empty text has only the end id; very long texts and texts without a
 space are encoded whole; repeated rows give repeated rows; extra columns are not looked at.
@@ -18,7 +19,6 @@ space are encoded whole; repeated rows give repeated rows; extra columns are not
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import heapq
 import re
@@ -32,7 +32,7 @@ from .common import bind_text, table
 
 SPACE = "▁"
 LANE = 32  # segments up to so many characters go side by side
-CACHED = 800_000  # segments that a worker remembers; then it forgets all
+CACHED = 400_000  # segments that a worker remembers; then it forgets all but those at hand
 OTHER = 1 << 16  # symbol number of a character that is no piece: OTHER + code point
 SHIFT = 21
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, agreed boolean"
@@ -44,6 +44,9 @@ class AgendaEncoder:
 
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=model)
         size = sp.vocab_size()
+        odd = "  A\u00e9e\u0301\ufb01\u3000\t x  "  # spaces, composed and not, a ligature, a wide space
+        if sp.decode(sp.encode(odd)) != odd or not sp.is_byte(sp.piece_to_id("<0x0A>")):
+            raise ValueError("the model's normalizer changes texts, or it has no byte fallback")
         if size > OTHER:
             raise ValueError("vocabularies of up to 65536 pieces")
         whole = [i for i in range(size) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
@@ -180,7 +183,6 @@ class BatchEncoder:
     def __init__(self, model: str):
         self.agenda = AgendaEncoder(model)
         self.known: dict[str, str] = {}
-        self.differed: set[str] = set()
 
     def learn(self, new: list[str]) -> None:
         agenda = self.agenda
@@ -189,24 +191,27 @@ class BatchEncoder:
         plain = [k for k, s in enumerate(new) if s != SPACE]
         for k, ids in zip(plain, agenda.library_ids([new[k] for k in plain])):
             if ids != own[k]:
-                own[k] = ids
-                self.differed.add(new[k])
+                raise ValueError(f"the agenda and the library differ on {new[k]!r}")
         self.known.update(zip(new, (" ".join(map(str, ids)) for ids in own)))
 
     def __call__(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, str, str, bool]]:
-        """(ids, decimal ids, decoded text, agreed) of each text."""
+        """(ids, decimal ids, decoded text, whether it agreed with the library as far as compared) of each text."""
         split, end, decode = self.agenda.split, str(self.agenda.end), self.agenda.library.decode
         parts = [split(t) if t else [] for t in texts]
         if len(self.known) > CACHED:
-            self.known.clear()
+            at_hand = {s for p in parts for s in p}
+            self.known = {s: ids for s, ids in self.known.items() if s in at_hand}
         known = self.known
         new = list({s for p in parts for s in p if s not in known})
         if new:
             self.learn(new)
-        for p in parts:
+        whole = sum(map(len, parts)) % max(1, len(parts))
+        for k, p in enumerate(parts):
             decimal = " ".join([*map(known.__getitem__, p), end])
             ids = np.fromstring(decimal, dtype=np.int32, sep=" ")
-            yield ids, decimal, decode(ids), not self.differed or self.differed.isdisjoint(p)
+            if k == whole and self.agenda.library.encode(texts[k] or "", add_eos=True) != ids.tolist():
+                raise ValueError("segments encoded one by one differ from the whole text")
+            yield ids, decimal, decode(ids), True
 
 
 _ENCODERS: dict[str, BatchEncoder] = {}
@@ -216,7 +221,6 @@ def encoder(model: str) -> BatchEncoder:
     """One encoder for each worker process and model."""
     if model not in _ENCODERS:
         _ENCODERS[model] = BatchEncoder(model)
-        gc.disable()  # millions of remembered strings and no cycles: collections would only walk them
     return _ENCODERS[model]
 
 
