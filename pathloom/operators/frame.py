@@ -19,6 +19,9 @@ from . import evaluate, native
 NODE = "ord array<struct<branch:int,place:int>>, path string, key string, pos int, value string, parent string"
 
 
+UNSET = object()  # no value given; None is null
+
+
 def text_of(value) -> str:
     return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
@@ -27,7 +30,7 @@ def loads(text: str | None):
     """Parsed JSON, or None-with-False for what is no JSON."""
     try:
         return (json.loads(text), True) if text is not None else (None, False)
-    except ValueError:
+    except (ValueError, RecursionError):  # nested beyond what a parser takes: as no JSON
         return None, False
 
 
@@ -49,10 +52,11 @@ class JsonFrame:
         return self.df.withColumn(self.doc, F.to_json(F.col(f"`{self.doc}`"))) if self.is_variant else self.df
 
     def variants(self) -> DataFrame:
-        return self.df if self.is_variant else self.df.withColumn(self.doc, F.try_parse_json(F.col(f"`{self.doc}`")))
+        return self.df if self.is_variant else native.parsed(self.df, self.doc)
 
-    def nodes(self, query: str | Path, keep_doc: bool = False) -> DataFrame:
-        """A row for each node: the other columns, then ``ord, path, key, pos, value, parent`` (value and parent VARIANT).
+    def nodes(self, query: str | Path, keep_doc: bool = False, parents: bool = True) -> DataFrame:
+        """A row for each node: the other columns, then ``ord, path, key, pos, value, parent`` (value and parent VARIANT; without
+        ``parents`` parent may be NULL, which spares a wide one being written out for each of its children).
 
         Within a document ``ord`` gives the order of the nodelist. Documents that are null or no JSON have no nodes.
         """
@@ -62,13 +66,15 @@ class JsonFrame:
         if self._native(path):
             found = native.rows(self.variants(), self.doc, path)
             return found.select(*kept, *(F.col(f"_{c}").alias(c) for c in ("ord", "path", "key", "pos", "value", "parent")))
-        found = self._python_nodes(path)
+        found = self._python_nodes(path, parents)
+        kept = [F.col(f"c{k}").alias(c) for k, c in enumerate(self.df.columns) if c in others]
         return found.select(*kept, "ord", "path", "key", "pos", F.try_parse_json("value").alias("value"), F.try_parse_json("parent").alias("parent"))
 
-    def _python_nodes(self, path: Path) -> DataFrame:
+    def _python_nodes(self, path: Path, parents: bool) -> DataFrame:
         ship(self.df.sparkSession)
         texts = self._texts()
         at = texts.columns.index(self.doc)
+        texts = texts.toDF(*(f"c{k}" for k in range(len(texts.columns))))  # whatever the names
         schema = T.StructType([*texts.schema.fields, *T.StructType.fromDDL(NODE).fields])
         order = pa.list_(pa.struct([("branch", pa.int32()), ("place", pa.int32())]))
 
@@ -86,7 +92,7 @@ class JsonFrame:
                         made["key"].append(node.key if isinstance(node.key, str) else None)
                         made["pos"].append(node.key if isinstance(node.key, int) else None)
                         made["value"].append(text_of(node.value))
-                        made["parent"].append(None if node.parent is None else text_of(node.parent))
+                        made["parent"].append(text_of(node.parent) if parents and node.parent is not None else None)
                 kinds = {"ord": order, "pos": pa.int32()}
                 columns = [pa.array(v, kinds.get(n, pa.string())) for n, v in made.items()]
                 yield pa.RecordBatch.from_arrays([*batch.take(pa.array(rows, pa.int64())).columns, *columns], names=schema.names)
@@ -96,26 +102,27 @@ class JsonFrame:
     def query(self, query: str | Path) -> Nodes:
         return Nodes(self.nodes(query), [c for c in self.df.columns if c != self.doc])
 
+    def _beside(self) -> tuple[DataFrame, Column]:
+        """The documents and a column of their VARIANT, parsed once."""
+        if self.is_variant:
+            return self.df, F.col(f"`{self.doc}`")
+        return native.with_variant(self.df, self.doc, "_variant"), F.col("_variant")
+
     def search(self, query: str | Path, out: str = "found") -> DataFrame:
         """``df`` with the values of each document's nodelist, in order, as an array of JSON texts."""
-        return self.df.withColumn(out, self._values(query))
-
-    def _values(self, query: str | Path) -> Column:
         path = parse(query) if isinstance(query, str) else query
-        column = F.col(f"`{self.doc}`")
-        if self._native(path):
-            doc = column if self.is_variant else F.try_parse_json(column)
-            found = F.transform(native.nodelist(path, doc, doc), lambda v: F.to_json(v))
-            return F.when(doc.isNull(), F.array().cast("array<string>")).otherwise(found)
-        return json_query(column if not self.is_variant else F.to_json(column), path)
+        if not self._native(path):
+            return self.df.withColumn(out, json_query(F.col(f"`{self.doc}`") if not self.is_variant else F.to_json(F.col(f"`{self.doc}`")), path))
+        source, doc = self._beside()
+        return source.withColumn(out, texts_of(path, doc)).drop("_variant")
 
     def exists(self, query: str | Path) -> DataFrame:
         """The documents where the query finds something."""
         path = parse(query) if isinstance(query, str) else query
-        if self._native(path) and path.singular:
-            column = F.col(f"`{self.doc}`")
-            return self.df.where(native.one(column if self.is_variant else F.try_parse_json(column), path).isNotNull())
-        return self.df.where(F.size(self._values(path)) > 0)
+        if not self._native(path):
+            return self.search(path, "_found").where("size(_found) > 0").drop("_found")
+        source, doc = self._beside()
+        return source.where(found_in(path, doc)).drop("_variant")
 
     def find_paths(self, query: str | Path) -> DataFrame:
         nodes = self.nodes(query)
@@ -146,22 +153,34 @@ class JsonFrame:
     def delete(self, query: str | Path, deleted: str | None = None) -> DataFrame:
         """Without the nodes found; ``deleted`` names a column for their values."""
         path = parse(query) if isinstance(query, str) else query
+        if deleted is None and path.segments and self._native(path):
+            return self._edit(path, None)
         return self._rewrite(lambda root: evaluate.delete(path, root), deleted)
 
+    def _edit(self, path: Path, value: Column | None) -> DataFrame:
+        """Rewriting in Catalyst; members of rewritten documents are sorted."""
+        source, doc = self._beside()
+        new = native.edited(doc, path.segments, doc, value)
+        if not self.is_variant:
+            new = F.when(doc.isNull(), F.col(f"`{self.doc}`")).otherwise(F.to_json(new))
+        return source.withColumn(self.doc, new).drop("_variant")
+
     def delete_if(self, query: str | Path, choice: Callable, deleted: str | None = None) -> DataFrame:
         """Without the nodes for which ``choice(value, parent, key, path)`` holds."""
         path = parse(query) if isinstance(query, str) else query
         return self._rewrite(lambda root: evaluate.delete(path, root, lambda n: choice(n.value, n.parent, n.key, n.path)), deleted)
 
-    def replace(self, query: str | Path, value=None, by: Callable | None = None) -> DataFrame:
-        """With ``value``, or ``by(value, parent, key, path)``, at every match."""
+    def replace(self, query: str | Path, value=UNSET, by: Callable | None = None) -> DataFrame:
+        """With ``value`` (None: null), or ``by(value, parent, key, path)``, at every match."""
         path = parse(query) if isinstance(query, str) else query
-        if value is not None and by is not None:
-            raise PathError("replace takes a value or a function, not both", str(path))
+        if (value is UNSET) == (by is None):
+            raise PathError("replace takes a value or a function, just one of them", str(path))
         if not path.segments:
             raise PathError("replace needs a parent: the root cannot be replaced", str(path))
+        if by is None and self._native(path):
+            return self._edit(path, F.parse_json(F.lit(text_of(value))))
         change = (lambda n: by(n.value, n.parent, n.key, n.path)) if by else None
-        return self._rewrite(lambda root: (evaluate.replace(path, root, value, change), []))
+        return self._rewrite(lambda root: (evaluate.replace(path, root, None if by else value, change), []))
 
     def insert(self, query: str | Path, value, exists: Callable | None = None, errors: str | None = None) -> DataFrame:
         """With ``value`` at a new name or array end; a document where that can't be fails the job, unless ``errors`` names a column for the reason."""
@@ -227,6 +246,30 @@ class Nodes:
     def tally(self, column: Column, name: str = "value") -> DataFrame:
         return self.df.groupBy(column.alias(name)).agg(F.count("*").alias("n"))
 
+    def _in_order(self, column: Column) -> DataFrame:
+        """A row a document: ``_all``, its nodes' values of a column in order."""
+        each = self.df.groupBy(*self.ids).agg(F.array_sort(F.collect_list(F.struct("ord", column.alias("_x")))).alias("_all"))
+        return each.withColumn("_all", F.transform("_all", lambda s: s["_x"]))
+
+    def reduce(self, column: Column, initial: Column, merge: Callable[[Column, Column], Column], name: str = "value") -> DataFrame:
+        """Each document's nodes folded in order, as ``each_with_object`` does with an object that grows."""
+        return self._in_order(column).withColumn(name, F.aggregate("_all", initial, merge)).drop("_all")
+
+    each_with_object = reduce
+
+    def each_slice(self, n: int, column: Column, name: str = "values") -> DataFrame:
+        """Runs of ``n`` nodes of a document (the last may be shorter) as arrays, numbered by ``slice``."""
+        if n < 1:
+            raise ValueError("slices have at least one node")
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("_all") - 1) / n)), lambda k: F.slice("_all", k * n + 1, F.lit(n)))
+        return self._in_order(column).select(*self.ids, F.posexplode(runs).alias("slice", name))
+
+    def zip(self, other: Nodes, left: Column, right: Column) -> DataFrame:
+        """Nodes of two queries over the same documents side by side; the first decides how many."""
+        mine = self.with_index("index").select(*self.ids, "index", left.alias("left"))
+        theirs = other.with_index("index").select(*other.ids, "index", right.alias("right"))
+        return mine.join(theirs, [*self.ids, "index"], "left")
+
     def each(self, action: Callable) -> None:
         self.df.foreach(action)
 
@@ -234,6 +277,17 @@ class Nodes:
         return self.df.orderBy(*self.ids, "ord").toLocalIterator()
 
 
+def texts_of(path: Path, doc: Column) -> Column:
+    """The values that an expressible query finds in a VARIANT, as JSON texts."""
+    found = F.transform(native.nodelist(path, doc, doc), lambda v: F.to_json(v))
+    return F.when(doc.isNull(), F.array().cast("array<string>")).otherwise(found)
+
+
+def found_in(path: Path, doc: Column) -> Column:
+    found = native.one(doc, path).isNotNull() if path.singular else F.size(native.nodelist(path, doc, doc)) > 0
+    return doc.isNotNull() & found
+
+
 def json_query(text: Column, query: str | Path) -> Column:
     """The values a query finds in a column of JSON text, as an array of JSON texts."""
     path = parse(query) if isinstance(query, str) else query

@@ -149,14 +149,22 @@ def _sized(part) -> bool:
     return isinstance(part, Call) and part.name in ("length", "count")
 
 
+WHOLE = "decimal(38,0)"
+
+
 def _as_number(part, current: Column, root: Column) -> tuple[Column, Column]:
-    """(double, exact decimal or NULL) where the operand is a number, else NULL."""
+    """(double, decimal where it is a whole number or else NULL) where the operand is a number, else NULL.
+
+    Doubles decide, but for whole numbers, which are exact beyond 2^53 as decimals.
+    """
     if _sized(part):
         n = number(part, current, root)
-        return n.cast("double"), n.cast("decimal(38,9)")
+        return n.cast("double"), n.cast(WHOLE)
     v = operand(part, current, root)
     is_number = kind(v) == "number"
-    return F.when(is_number, F.try_variant_get(v, "$", "double")), F.when(is_number, F.try_variant_get(v, "$", "decimal(38,9)"))
+    double, whole = F.try_variant_get(v, "$", "double"), F.try_variant_get(v, "$", WHOLE)
+    exact = F.schema_of_variant(v).isin("BIGINT", "INT", "SMALLINT", "TINYINT") | F.schema_of_variant(v).rlike(r"^DECIMAL\(\d+,0\)$")
+    return F.when(is_number, double), F.when(is_number & exact, whole)
 
 
 def _as_string(part, current: Column, root: Column) -> Column:
@@ -241,6 +249,44 @@ def predicate(test, current: Column, root: Column) -> Column:
     return F.coalesce(F.regexp_like(subject, F.lit(java(pattern.value, test.name == "match"))), F.lit(False))
 
 
+# ---- rewriting --------------------------------------------------------------------------------
+
+
+def _takes(s, x: Column, key: Column | None, pos: Column | None, n: Column | None, root: Column) -> Column:
+    """Whether a selector takes the child ``x``, a member of this name or an element at this place of ``n``."""
+    if isinstance(s, Name):
+        return key == s.name if key is not None else F.lit(False)
+    if isinstance(s, Wildcard):
+        return F.lit(True)
+    if isinstance(s, Filter):
+        return predicate(s.test, x, root)
+    if pos is None:
+        return F.lit(False)
+    return chosen(s, pos, n)[0] if isinstance(s, Slice) else pos == (F.lit(s.index) if s.index >= 0 else n + s.index)
+
+
+def _any(segment, x: Column, key: Column | None, pos: Column | None, n: Column | None, root: Column) -> Column:
+    out = F.lit(False)
+    for s in segment.selectors:
+        out = out | _takes(s, x, key, pos, n, root)
+    return out
+
+
+def edited(v: Column, segments: tuple, root: Column, value: Column | None) -> Column:
+    """``v`` with ``value`` (a variant; None: nothing) at all nodes of a query without descendants; only what leads there is built anew."""
+    segment, *rest = segments
+    items, members = array_view(v), object_view(v)
+    n = F.size(items)
+    if rest or value is not None:
+        new = (lambda x: edited(x, tuple(rest), root, value)) if rest else lambda x: value
+        array = F.transform(items, lambda x, k: F.when(_any(segment, x, None, k, n, root), new(x)).otherwise(x))
+        names = F.transform_values(members, lambda k, x: F.when(_any(segment, x, k, None, None, root), new(x)).otherwise(x))
+    else:
+        array = F.filter(items, lambda x, k: ~_any(segment, x, None, k, n, root))
+        names = F.map_filter(members, lambda k, x: ~_any(segment, x, k, None, None, root))
+    return F.when(items.isNotNull(), F.to_variant_object(array)).when(members.isNotNull(), F.to_variant_object(names)).otherwise(v)
+
+
 # ---- row form ---------------------------------------------------------------------------------
 
 
@@ -279,8 +325,8 @@ def rows(df: DataFrame, doc: str, path: Path) -> DataFrame:
         needs_size = any(isinstance(s, (Slice, Index)) for s in segment.selectors)
         if needs_size:
             out = out.withColumn("_n", F.size(array_view(v)))
-        each = df.sparkSession.tvf.variant_explode(F.col("_value").outer())
-        pos, key, value, n = F.col("pos"), F.col("key"), F.col("value"), F.col("_n")
+        each = df.sparkSession.tvf.variant_explode(F.col("_value").outer()).toDF("_at", "_member", "_child")
+        pos, key, value, n = F.col("_at"), F.col("_member"), F.col("_child"), F.col("_n")
         out = out.lateralJoin(each)
         choices = []
         for b, s in enumerate(segment.selectors):
@@ -308,5 +354,27 @@ def rows(df: DataFrame, doc: str, path: Path) -> DataFrame:
     return out
 
 
+def with_variant(df: DataFrame, doc: str, name: str) -> DataFrame:
+    """``df`` with its JSON text as VARIANT beside it, parsed once a row: a generator of one row lies above the parser, below which the
+    optimizer moves no filter and out of which it copies nothing. Of repeated names the last member stays."""
+    allow_repeated_names(df.sparkSession)
+    kept = _kept(df)
+    return df.select(*kept, F.try_parse_json(F.col(f"`{doc}`")).alias("_parsed")).select(*kept, F.explode(F.array("_parsed")).alias(name))
+
+
+def parsed(df: DataFrame, doc: str) -> DataFrame:
+    """``df`` with VARIANT in place of its JSON text."""
+    return with_variant(df, doc, "_doc").select(*(F.col("_doc").alias(c) if c == doc else F.col(f"`{c}`") for c in df.columns))
+
+
+def allow_repeated_names(spark) -> None:
+    """JSON texts may repeat a name in an object; as in most parsers the last one counts."""
+    if spark.conf.get(REPEATED, "false") != "true":
+        spark.conf.set(REPEATED, "true")
+
+
+REPEATED = "spark.sql.variant.allowDuplicateKeys"
+
+
 def _kept(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns]

@@ -44,7 +44,7 @@ def _nodes(query: str, **columns):
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         made = {n: c() for n, c in columns.items()}
-        return _frame(spark, sf_dir).nodes(query).select("orderkey", *(c.alias(n) for n, c in made.items()))
+        return _frame(spark, sf_dir).nodes(query, parents="flag" in made).select("orderkey", *(c.alias(n) for n, c in made.items()))
 
     return run
 
@@ -208,7 +208,83 @@ def _events(query: str):
     return run
 
 
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``key, doc``: a tiny number, a whole one beyond doubles, values of all kinds, and an object that repeats a name."""
+    k = F.col("n_nationkey").cast("string")
+    big = (F.lit(9007199254740992) + F.col("n_nationkey")).cast("string")
+    doc = F.concat(F.lit("["), k, F.lit(',"'), F.col("n_name"), F.lit('",null,'), k, F.lit("e-10,true,"), big, F.lit(',{"a":-1,"a":'), k, F.lit('},["x'), k, F.lit('"]]'))
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("key"), doc.alias("doc"))
+
+
+def _mixed_nodes(query: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = JsonFrame(_mixed(spark, sf_dir).withColumnRenamed("key", "nation")).nodes(query)
+        return found.select("nation", F.col("path").alias("node"))
+
+    return run
+
+
+def _mixed_value(spark, sf_dir):
+    found = JsonFrame(_mixed(spark, sf_dir).withColumnRenamed("key", "nation")).nodes("$[6].a")
+    return found.select("nation", number_of(F.col("value")).alias("a"))
+
+
+def _changed(change):
+    return lambda spark, sf_dir: _sums(change(_frame(spark, sf_dir)))
+
+
+def _delete_root(spark, sf_dir):
+    return _frame(spark, sf_dir).delete("$").select("orderkey", "doc")
+
+
+def _column_functions(spark, sf_dir):
+    from ..functions.columns import json_exists, json_query, json_value
+
+    docs, doc = _frame(spark, sf_dir).variants(), F.col("doc")
+    total, items = json_value(doc, "$.total").cast("double"), F.size(json_query(doc, "$.items[*]")).cast("long")
+    return docs.select("orderkey", total.alias("total"), items.alias("items"), json_exists(doc, "$.items[?@.qty == 50]").alias("full"))
+
+
+def _reduce(spark, sf_dir):
+    nodes = _frame(spark, sf_dir).query("$.items[*].line")
+    return nodes.reduce(number_of(F.col("value")), F.lit(0.0), lambda a, x: a * 10 + x, "digits")
+
+
+def _each_slice(spark, sf_dir):
+    nodes = _frame(spark, sf_dir).query("$.items[*].qty")
+    return nodes.each_slice(2, _num(), "qty").select("orderkey", F.col("slice").cast("long").alias("slice"), F.array_max("qty").alias("most"))
+
+
+def _zip(spark, sf_dir):
+    frame = _frame(spark, sf_dir)
+    pairs = frame.query("$.items[*].qty").zip(frame.query("$.items[?@.disc].disc"), _num(), _num())
+    return pairs.select("orderkey", F.col("index").cast("long").alias("index"), F.col("left").alias("qty"), F.col("right").alias("disc"))
+
+
+def _mixed_sql(*cases: str) -> str:
+    """(place, condition on the key n) -> the nodes there."""
+    parts = (f"SELECT n_nationkey::BIGINT AS nation, '$[{place}]' AS node FROM nation WHERE {where}" for place, _, where in (c.partition(":") for c in cases))
+    return " UNION ALL ".join(parts)
+
+
 OTHER = {
+    "jp_mixed_positive": (_mixed_nodes("$[?@ > 0]"), _mixed_sql("0:n_nationkey > 0", "3:n_nationkey > 0", "5:true")),
+    "jp_mixed_zero": (_mixed_nodes("$[?@ == 0]"), _mixed_sql("0:n_nationkey = 0", "3:n_nationkey = 0")),
+    "jp_mixed_beyond_doubles": (_mixed_nodes("$[?@ == 9007199254740993 || @ > 9007199254741002]"), _mixed_sql("5:n_nationkey = 1 OR n_nationkey > 10")),
+    "jp_mixed_null": (_mixed_nodes("$[?@ == null || @ == true]"), _mixed_sql("2:true", "4:true")),
+    "jp_mixed_strings": (_mixed_nodes("$[?@ >= 'J' && @ != 1]"), _mixed_sql("1:n_name >= 'J'")),
+    "jp_mixed_containers": (_mixed_nodes("$[?@ == $[7]]"), _mixed_sql("7:true")),
+    "jp_dynamic_regex": (_mixed_nodes("$[?search($[7][0], $[7][0]) && length(@) == count($[7].*)]"), _mixed_sql("6:true", "7:true")),
+    "jp_nested_functions": (_mixed_nodes("$[?length(value($[7][*])) == length($[7][0]) && count(@.*) == 1]"), _mixed_sql("6:true", "7:true")),
+    "jp_repeated_name": (_mixed_value, "SELECT n_nationkey::BIGINT AS nation, n_nationkey::DOUBLE AS a FROM nation"),
+    "jp_delete_index": (_changed(lambda f: f.delete("$.items[-1]")), f"{PER_ORDER} SELECT orderkey, count(i) FILTER (i < n - 1) AS items, round(coalesce(sum(price) FILTER (i < n - 1), 0.0), 2) AS total FROM each GROUP BY orderkey"),
+    "jp_delete_slice": (_changed(lambda f: f.delete("$.items[::2]")), f"{PER_ORDER} SELECT orderkey, count(i) FILTER (i % 2 = 1) AS items, round(coalesce(sum(price) FILTER (i % 2 = 1), 0.0), 2) AS total FROM each GROUP BY orderkey"),
+    "jp_delete_union": (_changed(lambda f: f.delete("$.items[0, 2, ?@.qty == 50]")), f"{PER_ORDER} SELECT orderkey, count(i) FILTER (i NOT IN (0, 2) AND qty <> 50) AS items, round(coalesce(sum(price) FILTER (i NOT IN (0, 2) AND qty <> 50), 0.0), 2) AS total FROM each GROUP BY orderkey"),
+    "jp_delete_root": (_delete_root, "SELECT o_orderkey AS orderkey, '{}' AS doc FROM orders JOIN customer ON o_custkey = c_custkey"),
+    "jp_column_functions": (_column_functions, f"{PER_ORDER} SELECT orderkey, ototal AS total, count(i) AS items, coalesce(bool_or(qty = 50), false) AS full FROM each GROUP BY orderkey, ototal"),
+    "jp_reduce": (_reduce, f"{ITEMS}, d AS (SELECT o_orderkey AS orderkey, list_transform(list(l_linenumber ORDER BY i), lambda x: x::DOUBLE) AS l FROM it GROUP BY ALL) SELECT orderkey, list_reduce(l, lambda a, x: a * 10 + x, 0.0::DOUBLE) AS digits FROM d"),
+    "jp_each_slice": (_each_slice, f"{ITEMS} SELECT o_orderkey AS orderkey, i // 2 AS slice, max(l_quantity) AS most FROM it GROUP BY ALL"),
+    "jp_zip": (_zip, f"{ITEMS}, d AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY i) - 1 AS j FROM it WHERE l_discount > 0) SELECT it.o_orderkey AS orderkey, it.i AS index, it.l_quantity AS qty, d.l_discount AS disc FROM it LEFT JOIN d ON d.o_orderkey = it.o_orderkey AND d.j = it.i"),
     "jp_delete": (_delete, f"{PER_ORDER} SELECT orderkey, count(i) FILTER (qty <= 25) AS items, round(coalesce(sum(price) FILTER (qty <= 25), 0.0), 2) AS total FROM each GROUP BY orderkey"),
     "jp_delete_if": (_delete_if, f"{PER_ORDER} SELECT orderkey, count(i) FILTER (i % 2 = 1) AS items, round(coalesce(sum(price) FILTER (i % 2 = 1), 0.0), 2) AS total FROM each GROUP BY orderkey"),
     "jp_delete_descendant": (_delete_descendant, f"{PER_ORDER} SELECT orderkey, count(i) AS items, round(coalesce(sum(price), 0.0), 2) AS total FROM each GROUP BY orderkey"),
