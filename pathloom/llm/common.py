@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +77,31 @@ def open_uri(uri: str):
     return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + rest)
 
 
+def parts(batches: Iterator[pa.RecordBatch], text: int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches with at most ``most`` bytes in the column number ``text`` (a longer text is alone in one).
+
+    What a worker no longer uses goes back to the system at the end, as it may live on beside others.
+    """
+    import ctypes
+
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        start = size = 0
+        for k, n in enumerate(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()):
+            if k > start and size + n > most:
+                yield batch.slice(start, k - start)
+                start, size = k, 0
+            size += n
+        if start < batch.num_rows:
+            yield batch.slice(start)
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not with every C library
+        pass
+
+
 def once(docs: DataFrame, name: str, value: Column) -> DataFrame:
     """``docs`` with a column whose expression is evaluated once a row: what filters or reads it later is not merged into it.
 

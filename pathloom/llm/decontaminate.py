@@ -31,8 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bind_text, table
-from .token_store import groups
+from .common import bind_text, parts, table
 
 WINDOW, LITERAL, SHARE = 8, 5, 0.5
 WHOLE = 4  # tokens of an item with few literal words that is one window
@@ -278,22 +277,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, lit
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index, canon = sent.value, Canon()
             kind = pa.list_(pa.struct([("item_id", pa.int64()), ("windows", pa.int32()), ("of", pa.int32()), ("reworded", pa.bool_())]))
-            for batch in batches:
-                start = 0
-                for texts in groups(batch.column(at), PART):
-                    part = texts.to_pylist()
-                    found = index.find(part, canon) if index.items else {}
-                    had = batch.column(batch.num_columns - 1).slice(start, len(part)).to_pylist()
-                    rows = []
-                    for d, before in enumerate(had):
-                        own = [
-                            {"item_id": index.items[i][0], "windows": n, "of": index.of[mode][i], "reworded": mode > 0}
-                            for i, (n, mode, run) in found.get(d, {}).items()
-                            if n >= share * index.of[mode][i] or run >= RUN
-                        ]
-                        rows.append(sorted(before + own, key=lambda x: (x["item_id"] is None, x["item_id"] or 0)))
-                    yield pa.RecordBatch.from_arrays([*batch.slice(start, len(part)).columns[:-1], pa.array(rows, kind)], names=batch.schema.names)
-                    start += len(part)
+            for batch in parts(batches, at, PART):
+                found = index.find(batch.column(at).to_pylist(), canon) if index.items else {}
+                rows = []
+                for d, before in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                    own = [
+                        {"item_id": index.items[i][0], "windows": n, "of": index.of[mode][i], "reworded": mode > 0}
+                        for i, (n, mode, run) in found.get(d, {}).items()
+                        if n >= share * index.of[mode][i] or run >= RUN
+                    ]
+                    rows.append(sorted(before + own, key=lambda x: (x["item_id"] is None, x["item_id"] or 0)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, kind)], names=batch.schema.names)
 
         out = out.mapInArrow(run, out.schema)
     return out.toDF(*names, hits)

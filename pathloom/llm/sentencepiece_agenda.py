@@ -28,11 +28,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import bind_text, table
+from .common import bind_text, parts, table
 
 SPACE = "▁"
 LANE = 32  # segments up to so many characters go side by side
-CACHED = 400_000  # segments that a worker remembers; then it forgets all but those at hand
+CACHED = 200_000  # segments that a worker remembers; then it forgets all but those at hand
 OTHER = 1 << 16  # symbol number of a character that is no piece: OTHER + code point
 SHIFT = 21
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, agreed boolean"
@@ -224,20 +224,6 @@ def encoder(model: str) -> BatchEncoder:
     return _ENCODERS[model]
 
 
-def groups_by_size(texts: list[str | None], most: int = 4_000_000) -> Iterator[list[str | None]]:
-    """Consecutive runs of at most ``most`` characters (a longer text is a run of its own)."""
-    run, size = [], 0
-    for t in texts:
-        n = len(t) if t else 0
-        if run and size + n > most:
-            yield run
-            run, size = [], 0
-        run.append(t)
-        size += n
-    if run:
-        yield run
-
-
 def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """``docs`` with the ids of each text (array<int>) and, if asked for, what they decode to."""
     from pyspark.sql import types as T
@@ -251,15 +237,14 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", de
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model)
-        for batch in batches:
-            start = 0
-            for part in groups_by_size(batch.column(at).to_pylist()):
-                made = list(enc(part))
-                columns = [*batch.slice(start, len(part)).columns, pa.array([m[0] for m in made], pa.list_(pa.int32()))]
+        for batch in parts(batches, at):
+            ids, back = [], []
+            for own, _, text, _ in enc(batch.column(at).to_pylist()):
+                ids.append(own)
                 if decoded:
-                    columns.append(pa.array([m[2] for m in made], pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-                start += len(part)
+                    back.append(text)
+            columns = [*batch.columns, pa.array(ids, pa.list_(pa.int32())), *([pa.array(back, pa.string())] if decoded else [])]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.toDF(*(f"c{k}" for k in range(len(docs.columns)))).mapInArrow(run, schema)  # whatever the names
 
@@ -270,12 +255,8 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model)
         sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
-        for batch in batches:
-            rows = [
-                (len(ids), sha(decimal), sha(back), agreed)
-                for part in groups_by_size(batch.column(1).to_pylist())
-                for ids, decimal, back, agreed in enc(part)
-            ]
+        for batch in parts(batches, 1):
+            rows = [(len(ids), sha(decimal), sha(back), agreed) for ids, decimal, back, agreed in enc(batch.column(1).to_pylist())]
             n, a, b, ok = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(ok, pa.bool_())],

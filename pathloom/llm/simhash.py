@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bind_text, discard, join_few, join_hot, keep, table
+from .common import bind_text, discard, join_few, join_hot, keep, parts, table
 from .components import components
 
 BITS = 64
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """``doc_id, fp`` (the 64 bits as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, 1):
             made = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], names=["doc_id", "fp"])
 
@@ -269,7 +269,7 @@ def _hot(docs: DataFrame, width: int) -> np.ndarray:
     part = max(1, n // max(SAMPLED, int(n * SHARE)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, 0):
             for t in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), width).view(np.int64))], names=["h"])
 
@@ -290,7 +290,7 @@ def _heads(docs: DataFrame, width: int, similarity: float) -> DataFrame:
         from xxhash import xxh64_intdigest
 
         known, rank = sent.value
-        for batch in batches:
+        for batch in parts(batches, 3):
             node, size, head, last = [], [], [], []
             for t in batch.column(3):
                 h = shingles(t.as_py(), width)
@@ -328,7 +328,7 @@ def _confirmed(pairs: DataFrame, each: DataFrame, docs: DataFrame, width: int, s
     """Those of the pairs of nodes (u, v) whose whole sets have this Jaccard similarity."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), width).tobytes() for t in batch.column(1)], pa.binary())], names=["node", "held"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bind_text, keep, new_path, open_uri, table
+from .common import bind_text, keep, new_path, open_uri, parts, table
 
 MAGIC = b"DAC1"
 BLOCK = 512  # bits of a rank directory's block
@@ -305,18 +305,6 @@ def with_end(ids: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
     return out
 
 
-def groups(texts: pa.Array, most: int = GROUP_BYTES) -> Iterator[pa.Array]:
-    """Consecutive slices of at most ``most`` bytes (a longer text is a slice of its own)."""
-    start = size = 0
-    for k, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
-        if k > start and size + n > most:
-            yield texts.slice(start, k - start)
-            start, size = k, 0
-        size += n
-    if start < len(texts):
-        yield texts.slice(start)
-
-
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -358,17 +346,14 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end: int = END, file_byt
             done.append((part, name, len(done), len(names), int(starts[-1])))
             names, held, sizes, size = [], [], [], 0
 
-        for batch in batches:
-            start = 0
-            for texts in groups(batch.column(1)):
-                ids, each = enc.batch(texts)
-                held.append(with_end(ids, each, end))
-                sizes.append(each + 1)
-                names += batch.column(0).slice(start, len(texts)).to_pylist()
-                start += len(texts)
-                size += texts.nbytes
-                if size > file_bytes:
-                    flush()
+        for batch in parts(batches, 1, GROUP_BYTES):
+            ids, each = enc.batch(batch.column(1))
+            held.append(with_end(ids, each, end))
+            sizes.append(each + 1)
+            names += batch.column(0).to_pylist()
+            size += batch.nbytes
+            if size > file_bytes:
+                flush()
         if names:
             flush()
         if done:
