@@ -6,7 +6,7 @@ with more host labels, then the one with the longer path. Urls that no rule fits
 
 Defined results for odd input: a null url, or one without ``://``, has an empty host and path and
 gets the default; an empty table gives an empty result; repeated rows are judged one by one; of
-two rules with the same host and path the block entry stays; extra columns are not looked at.
+two rules with the same host and path the block entry stays; rules with a null fit nothing; extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -38,26 +38,29 @@ class UrlTrie:
 
     def __init__(self, rules: Iterable[tuple[str, str, str]]):
         self.root: dict = {"hosts": {}, "paths": None}
-        for host, path, verdict in sorted(rules, key=lambda r: r[2]):
+        for host, path, verdict in sorted((r for r in rules if None not in r), key=lambda r: r[2]):
             node = self.root
             for label in reversed(host.split(".")) if host else ():
                 node = node["hosts"].setdefault(label, {"hosts": {}, "paths": None})
             if node["paths"] is None:
-                node["paths"] = {"next": {}, "ends": {}}
+                node["paths"] = {"next": {}, "ends": {}, "sizes": []}
             at = node["paths"]
             *whole, rest = path.split("/")
             for segment in whole:
-                at = at["next"].setdefault(segment, {"next": {}, "ends": {}})
+                at = at["next"].setdefault(segment, {"next": {}, "ends": {}, "sizes": []})
             # 'ends': beginnings of the segment that follows; "" fits whatever follows
             at["ends"][rest] = (host + path, verdict)
+            if len(rest) not in at["sizes"]:
+                at["sizes"] = sorted([*at["sizes"], len(rest)], reverse=True)
 
     @staticmethod
     def _longest(paths: dict, path: str):
         best, at, segments = None, paths, path.split("/")
         for k, segment in enumerate(segments):
-            fits = [e for e in at["ends"] if segment.startswith(e)]
-            if fits:
-                best = at["ends"][max(fits, key=len)]
+            for n in at["sizes"]:
+                if segment[:n] in at["ends"] and len(segment) >= n:
+                    best = at["ends"][segment[:n]]
+                    break
             at = at["next"].get(segment)
             if at is None or k == len(segments) - 1:
                 return best
@@ -124,7 +127,7 @@ def judge_by_join(pages: DataFrame, rules: DataFrame, default: str = "allow", ke
             F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, F.size(labels) - k + 1, k), "."))
         ),
     )
-    each = rules.groupBy(F.col("host").alias("r_host"), F.col("path").alias("r_path")).agg(F.max("verdict").alias("r_verdict"))
+    each = rules.dropna(subset=["host", "path", "verdict"]).groupBy(F.col("host").alias("r_host"), F.col("path").alias("r_path")).agg(F.max("verdict").alias("r_verdict"))
     best = (
         asked.select("host", "path").distinct()
         .withColumn("r_host", F.explode(suffixes))

@@ -2,28 +2,31 @@
 
 Pages become WARC/1.1 records, each a gzip member of its own, in one file a task; next to each file lies
 an index of record offsets. For the audit every file of a replica becomes a tree: leaves are hashes of
-single records, inner nodes hash the ordered hashes of ``FAN`` children and cover the range of offsets from the
-first to the last. Roots of the replicas are compared, and from level to level only the children of nodes
-that differ are looked at, until the differing leaves name the damaged records and their offsets.
+single records and their ranges of offsets (bytes beyond the index are one more leaf), inner nodes hash the ordered hashes of ``FAN``
+children. Roots of the replicas are compared, and from level to level only the children of nodes that differ are
+read and joined, until the differing leaves name the damaged records and their offsets. Files of which the trees differ in
+height are compared leaf by leaf.
 
 Defined results: a null html is a record without payload, a null url has an empty target; repeated rows are
-records of their own; a file that a replica lacks, or that is too short, differs in the records it lacks; an
-empty table makes no file and audits to an empty result; extra columns are not looked at.
+records of their own; a file that a replica lacks, whose index can't be read, or that is too short, differs in the records it lacks; a
+record or file that only the other replica has is a row without page and digest, not intact; an empty table makes no file and audits to an empty result; extra columns are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, new_path, open_uri, table
+from .common import discard, keep, new_path, open_uri, table
 
 FAN = 16
 FILE_BYTES = 256 << 20
@@ -91,11 +94,14 @@ def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFr
 
 def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of each record of a whole file."""
-    while data:
-        unpacker = zlib.decompressobj(31)
-        record = unpacker.decompress(data) + unpacker.flush()
-        data = unpacker.unused_data
-        head, _, rest = record.partition(b"\r\n\r\n")
+    at = 0
+    while at < len(data):
+        unpacker, made = zlib.decompressobj(31), []
+        while not unpacker.eof and at < len(data):
+            piece = data[at : at + (1 << 16)]
+            made.append(unpacker.decompress(piece))
+            at += len(piece) - len(unpacker.unused_data)
+        head, _, rest = b"".join(made).partition(b"\r\n\r\n")
         fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
         yield fields, rest[: int(fields["Content-Length"])]
 
@@ -133,7 +139,7 @@ def tree(leaves: list[bytes], fan: int = FAN) -> list[list[bytes]]:
 
 
 def nodes(files: DataFrame, folder: str, fan: int = FAN) -> DataFrame:
-    """Tree nodes of each file of a replica, kept as a table: level, place, range of offsets and hash."""
+    """Tree nodes of each file of a replica, kept as a table by level: place, range of offsets and hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_uri(folder)
@@ -141,46 +147,76 @@ def nodes(files: DataFrame, folder: str, fan: int = FAN) -> DataFrame:
             for name in batch.column(0).to_pylist():
                 try:
                     with fs.open_input_stream(f"{base}/{name}.idx") as source:
-                        ranges = json.loads(source.read())
+                        ranges = [(int(a), int(n)) for a, n in json.loads(source.read())]
+                    leaves = []
                     with fs.open_input_stream(f"{base}/{name}", compression=None) as source:
-                        hashes = [hashlib.sha256(source.read(length)).digest() for _, length in ranges]
-                except FileNotFoundError:
+                        for offset, length in ranges:
+                            leaves.append(hashlib.sha256(source.read(length)).digest() + struct.pack(">QQ", offset, length))
+                        more, size = hashlib.sha256(), 0
+                        while part := source.read(1 << 22):
+                            more.update(part)
+                            size += len(part)
+                    if size:
+                        ranges.append((sum(ranges[-1]) if ranges else 0, size))
+                        leaves.append(more.digest() + struct.pack(">QQ", *ranges[-1]))
+                except (FileNotFoundError, ValueError, TypeError, struct.error):  # no such file, or an index that says nothing
                     continue
-                for level, row in enumerate(tree(hashes, fan)):
+                for level, row in enumerate(tree(leaves, fan) if leaves else []):
                     wide = fan**level
                     first = [ranges[k * wide][0] for k in range(len(row))]
                     last = [sum(ranges[min((k + 1) * wide, len(ranges)) - 1]) for k in range(len(row))]
                     columns = [pa.array([name] * len(row)), pa.array([level] * len(row), pa.int32()), pa.array(range(len(row)), pa.int64()), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(row, pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, names=["file", "level", "node", "first", "last", "hash"])
 
-    return keep(files.mapInArrow(run, NODES), "nodes")[0]
+    path = new_path(files.sparkSession, "nodes")
+    made = files.mapInArrow(run, NODES)
+    made.write.partitionBy("level").parquet(path)
+    return files.sparkSession.read.schema(made.schema).parquet(path).select(*made.columns)
 
 
 def differing(mine: DataFrame, theirs: DataFrame, fan: int = FAN) -> DataFrame:
-    """``file, record, first, last`` of the leaves that differ: from the roots down, along differing nodes only."""
-    both = mine.join(theirs.select("file", "level", "node", F.col("hash").alias("other")), ["file", "level", "node"], "left").where("other is null or hash <> other")
-    top = mine.agg(F.max("level")).first()[0]
+    """``file, record, first, last`` of the leaves that differ or that only one has: from the roots down, along differing nodes only."""
+    spark = mine.sparkSession
+    height = lambda d, name: d.groupBy("file").agg(F.max("level").alias(name))
+    both, path = keep(height(mine, "a").join(height(theirs, "b"), "file", "full"), "heights")
+    uneven, top = both.where("NOT a <=> b").select("file"), both.agg(F.max(F.greatest("a", "b"))).first()[0]
+    above, old = None, [path]
+    for level in range(-1 if top is None else top, -1, -1):
+        roots = both.where((F.col("a") == level) & F.col("a").eqNullSafe(F.col("b"))).select("file")
+        starts = roots.union(uneven) if level == 0 else roots
+
+        def here(nodes: DataFrame, level=level, starts=starts, above=above) -> DataFrame:
+            own = nodes.where(F.col("level") == level).withColumn("above", F.floor(F.col("node") / fan))
+            out = own.join(starts, "file", "left_semi")
+            return out if above is None else out.unionByName(own.join(above, ["file", "above"], "left_semi"))
+
+        other = here(theirs).select("file", "node", *(F.col(c).alias(f"{c}2") for c in ("first", "last", "hash")))
+        found = here(mine).join(other, ["file", "node"], "full").where("NOT hash <=> hash2")
+        found, path = keep(found.select("file", "node", F.coalesce("first", "first2").alias("first"), F.coalesce("last", "last2").alias("last")), "differing")
+        above = found.select("file", F.col("node").alias("above"))
+        old.append(path)
+    discard(spark, *old[:-1])
     if top is None:
         return mine.select("file", F.col("node").alias("record"), "first", "last").limit(0)
-    at = None
-    roots = mine.groupBy("file").agg(F.max("level").alias("level"))
-    starts = both.join(roots, ["file", "level"])
-    for level in range(top, -1, -1):
-        here = starts.where(F.col("level") == level).select("file", "node", "first", "last")
-        if at is not None:
-            above = at.select("file", F.col("node").alias("above"))
-            below = both.where(F.col("level") == level).withColumn("above", F.floor(F.col("node") / fan))
-            here = here.unionByName(below.join(above, ["file", "above"], "left_semi").select("file", "node", "first", "last"))
-        at = here
-    return at.select("file", F.col("node").alias("record"), "first", "last")
+    return found.select("file", F.col("node").alias("record"), "first", "last")
+
+
+def _names(spark: SparkSession, folder: str) -> DataFrame:
+    """The WARC files of a folder, of which no byte is read."""
+    try:
+        there = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
+    except AnalysisException:  # no such folder
+        return spark.createDataFrame([], "file string")
+    return there.select(F.substring_index("path", "/", -1).alias("file"))
 
 
 def audit(index: DataFrame, a: str, b: str) -> DataFrame:
-    """Each record of ``index`` with ``intact``: whether replica ``b`` holds it as ``a`` does."""
-    files = index.select("file").distinct()
+    """Each record of ``index`` with ``intact``: whether replica ``b`` holds it as ``a`` does; and what only ``b`` holds, not intact."""
+    spark = index.sparkSession
+    files, _ = keep(index.select("file").union(_names(spark, a)).union(_names(spark, b)).distinct(), "files")
     files = files.repartition(max(1, files.count()), "file")  # one file or a few a task
     bad = differing(nodes(files, a), nodes(files, b)).select("file", "record", F.lit(True).alias("bad"))
-    return index.join(bad, ["file", "record"], "left").withColumn("intact", F.col("bad").isNull()).drop("bad")
+    return index.join(bad, ["file", "record"], "full").withColumn("intact", F.col("bad").isNull()).drop("bad")
 
 
 def flip(page_id: int | None, record: bytes) -> bytes:

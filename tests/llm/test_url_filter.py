@@ -50,3 +50,12 @@ def test_join_is_the_same(spark):
 def test_empty(spark):
     assert U.judge(frame(spark, []), U.RULES).collect() == []
     assert U.judge(frame(spark, ["http://com/"]), []).first().rule is None
+
+
+def test_null_rules_many_beginnings_and_long_urls(spark):
+    rules = [("a.com", f"/{'x' * (k % 40)}{k}", "block") for k in range(3_000)] + [("a.com", "", "allow")]
+    urls = ["http://a.com/" + "x" * (k % 40) + str(k) + "y" for k in range(0, 3_000, 111)] + ["http://" + "b." * 5_000 + "a.com/" + "x/" * 20_000]
+    check(spark, urls, rules, U.judge)
+    nulls = spark.createDataFrame([(None, "/", "block"), ("a.com", None, "block"), ("a.com", "/", None), ("com", "/", "block")], "host string, path string, verdict string")
+    for most in (10, 1):
+        assert [r.rule for r in U.judge(frame(spark, ["http://a.com/"]), nulls, max_trie_rules=most).collect()] == ["com/"]

@@ -44,3 +44,30 @@ def test_tree_levels():
 def test_empty(spark):
     index = M.write(frame(spark, []), a := new_path(spark, "a"))
     assert M.audit(index, a, a).collect() == []
+
+
+def test_surplus_and_damaged_indexes(spark):
+    a, b = new_path(spark, "a"), new_path(spark, "b")
+    index = M.write(frame(spark, PAGES), a, file_bytes=4_000)
+    M.replicate(index, a, b)
+    first, second, third, *_ = sorted({r.file for r in index.collect()})
+    local = b.removeprefix("file://")
+    with open(f"{local}/{first}", "ab") as f:
+        f.write(b"more")  # bytes that only b has
+    with open(f"{local}/{second}.idx", "w") as f:
+        f.write("[[0, 1], [")
+    with open(f"{local}/extra.warc.gz", "wb") as f, open(f"{local}/extra.warc.gz.idx", "w") as g:
+        f.write(b"xy")
+        g.write("[[0, 1], [1, 1]]")
+    rows = M.audit(index, a, b).collect()
+    n = {f: sum(r.file == f for r in index.collect()) for f in (first, second)}
+    assert sorted(((r.file, r.record) for r in rows if not r.intact), key=str) == sorted([(first, n[first]), *((second, k) for k in range(n[second])), ("extra.warc.gz", 0), ("extra.warc.gz", 1)], key=str)
+    assert sum(r.intact for r in rows) == index.count() - n[second]
+
+
+def test_descent_reads_only_children_of_differing_nodes(spark):
+    a, b = new_path(spark, "a"), new_path(spark, "b")
+    index = M.write(frame(spark, [(k, None, str(k)) for k in range(600)]).coalesce(1), a)
+    M.replicate(index, a, b, M.flip)
+    rows = M.audit(index, a, b).where("not intact").collect()
+    assert sorted(r.page_id for r in rows) == [k for k in range(600) if k % 97 == 13]
