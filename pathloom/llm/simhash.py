@@ -245,8 +245,8 @@ def near_links(fps: DataFrame, errors: int = 3, most: int = MOST) -> DataFrame:
 
 # ---- near copies: exact similarity of shingle sets ----------------------------------------
 
-SAMPLED, SHARE = 8_000, 0.02  # documents in which frequent shingles are looked for: so many, or this share if more
-OFTEN, HOT = 4, 500_000  # a shingle in so many of them is hot; at most so many hot ones are held
+SAMPLED, SHARE = 20_000, 0.1  # documents in which frequent shingles are looked for: so many, or this share if more
+OFTEN, HOT = 3, 500_000  # a shingle in so many of them is hot; at most so many hot ones are held
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -375,13 +375,19 @@ def _meeting(each: DataFrame, similarity: float) -> tuple[DataFrame, list[str]]:
 
 
 def _neighbours(live: DataFrame) -> DataFrame:
-    """Pairs (u, v, size, pos, size2, pos2): neighbours by size within a chunk of a shingle, and first ones of neighbouring chunks."""
-    side = F.struct("size", "node", "pos")
-    inside = live.select("key", side.alias("a"), F.lag(side).over(Window.partitionBy("key", "chunk").orderBy("size", "node")).alias("b"))
-    firsts = live.groupBy("key", "chunk").agg(F.min(side).alias("a"))
-    across = firsts.select("key", "a", F.lag("a").over(Window.partitionBy("key").orderBy("chunk")).alias("b"))
-    pairs = inside.unionByName(across).where("b IS NOT NULL")
-    return pairs.select(F.col("b.node").alias("u"), F.col("a.node").alias("v"), "a.size", "a.pos", F.col("b.size").alias("size2"), F.col("b.pos").alias("pos2"))
+    """Pairs (u, v, size, pos, size2, pos2) within a chunk of a shingle, about two a row, and between the first ones of chunks.
+
+    Neighbours by size, and every row with the chunk's centre: the one with the fewest rarer shingles, as a text has of which the
+    others are copies with changes. Two such copies may be too far apart where each is near the centre.
+    """
+    side, chunk = F.struct("size", "node", "pos"), Window.partitionBy("key", "chunk")
+    inside = live.select("key", side.alias("a"), F.lag(side).over(chunk.orderBy("size", "node")).alias("b"), F.min(F.struct("pos", "size", "node")).over(chunk).alias("c"))
+    firsts = live.groupBy("key", "chunk").agg(F.min(F.struct("pos", "size", "node")).alias("a"))
+    across = firsts.select("key", "a", F.lag("a").over(Window.partitionBy("key").orderBy("chunk")).alias("b"), F.min("a").over(Window.partitionBy("key")).alias("c"))
+    both = inside.select("a", F.explode(F.array("b", F.struct("c.size", "c.node", "c.pos"))).alias("b"))
+    both = both.unionByName(across.select(*(F.struct(f"{x}.size", f"{x}.node", f"{x}.pos").alias(x) for x in "abc")).select("a", F.explode(F.array("b", "c")).alias("b")))
+    pairs = both.where("b.node IS NOT NULL AND a.node <> b.node")
+    return pairs.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"), "a.size", "a.pos", F.col("b.size").alias("size2"), F.col("b.pos").alias("pos2"))
 
 
 def _apart(live: DataFrame, roots: DataFrame) -> tuple[DataFrame, list[str]]:

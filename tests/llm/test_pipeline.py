@@ -131,3 +131,27 @@ def test_hot_shingles_are_exact_and_not_squared(spark, monkeypatch):
     monkeypatch.setattr(simhash, "_confirmed", counting)
     kept_places(spark, [t for t in texts if len(t.split()) == 300])
     assert compared[0] < 150 * 60 and compared[1] == 0  # all are linked by neighbours; no pair is left
+
+
+def test_copies_of_one_text_meet_it(spark, monkeypatch):
+    """Copies with changes of their own, near the text they come from and mostly too far from each other."""
+    rng = random.Random(12)
+    word = lambda: f"{rng.getrandbits(40):x}"
+    base = [word() for _ in range(300)]
+    texts = [" ".join(base)]
+    for _ in range(140):
+        copy = list(base)
+        for at in rng.sample(range(300), 5):
+            copy[at] = word()
+        texts.append(" ".join(copy + [word() for _ in range(rng.randrange(8))]))
+    rng.shuffle(texts)
+    compared, real = [], simhash._confirmed
+
+    def counting(pairs, *rest):
+        compared.append(pairs.distinct().count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "_confirmed", counting)
+    want = remaining(texts)
+    assert kept_places(spark, texts) == want and len(want) < 10
+    assert compared[1] < 141 * 10  # of 9,870 pairs
