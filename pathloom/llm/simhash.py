@@ -38,24 +38,32 @@ LEAF = 256  # node pairs of at most so many comparisons are compared outright
 AT_ONCE = 2_000_000  # comparisons held at a time
 
 
-def fingerprint(text: str | None, width: int) -> int:
-    """Bit k is 1 where more than half the shingles' XXH64 have it; repeats count."""
+def _hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 of a text's shingles in their order, with repeats; fewer words than a shingle make one."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8").lower().split()  # bytes: A-Z only, and just the ASCII spaces
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
     last = ends[min(width, len(words)) - 1 :] - 1
     first = np.concatenate([[0], ends])[: len(last)]
-    n, ones = len(last), np.zeros(BITS, dtype=np.int64)
-    first, last = first.tolist(), last.tolist()
-    for at in range(0, n, 1 << 16):
-        part = [xxh64_intdigest(line[a:b], SEED) for a, b in zip(first[at : at + (1 << 16)], last[at : at + (1 << 16)])]
-        octets = np.array(part, dtype="<u8").view(np.uint8).reshape(-1, 8)
+    return np.fromiter((xxh64_intdigest(line[a:b], SEED) for a, b in zip(first.tolist(), last.tolist())), dtype=np.uint64, count=len(last))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """Bit k is 1 where more than half the hashes have it."""
+    ones = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        octets = hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, width: int) -> int:
+    """Bit k is 1 where more than half the shingles' XXH64 have it; repeats count."""
+    return _majority(_hashes(text, width))
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -251,16 +259,7 @@ OFTEN, HOT = 3, 500_000  # a shingle in so many of them is hot; at most so many
 
 def shingles(text: str | None, width: int) -> np.ndarray:
     """The set of a text's shingles as sorted XXH64; fewer words than a shingle make one."""
-    from xxhash import xxh64_intdigest
-
-    words = (text or "").encode("utf-8").lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    line = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
-    last = ends[min(width, len(words)) - 1 :] - 1
-    first = np.concatenate([[0], ends])[: len(last)]
-    return np.unique(np.fromiter((xxh64_intdigest(line[a:b], SEED) for a, b in zip(first.tolist(), last.tolist())), dtype=np.uint64, count=len(last)))
+    return np.unique(_hashes(text, width))
 
 
 def _hot(docs: DataFrame, width: int) -> np.ndarray:
@@ -280,8 +279,8 @@ def _hot(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def _heads(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """``file, row, doc_id, node, size, head, last``: a hash and the size of the set, and those of its shingles, first in an order
-    of all shingles (hot ones last), of which two sets of this similarity must share one; ``last`` is the head's end in that order."""
+    """``file, row, doc_id, node, fp, size, head, last``: a hash, the fingerprint and the size of the set, and those of its shingles, first
+    in an order of all shingles (hot ones last), of which two sets of this similarity must share one; ``last`` is the head's end in that order."""
     hot = _hot(docs, width)
     order = np.argsort(hot)
     sent = docs.sparkSession.sparkContext.broadcast((hot[order], order + 1))
@@ -291,10 +290,11 @@ def _heads(docs: DataFrame, width: int, similarity: float) -> DataFrame:
 
         known, rank = sent.value
         for batch in parts(batches, 3):
-            node, size, head, last = [], [], [], []
+            node, fp, size, head, last = [], [], [], [], []
             for t in batch.column(3):
                 h = shingles(t.as_py(), width)
                 node.append(xxh64_intdigest(h.tobytes(), SEED))
+                fp.append(_majority(h))
                 place = np.zeros(len(h), dtype=np.int64)
                 if len(known) and len(h):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
@@ -305,11 +305,11 @@ def _heads(docs: DataFrame, width: int, similarity: float) -> DataFrame:
                 size.append(len(h))
                 head.append(h[:k].view(np.int64))
                 last.append({"place": int(place[:k][-1]), "hash": int(h[:k][-1]) - (1 << 63)} if len(h) else None)  # hashes are in unsigned order
-            made = [pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(head, pa.list_(pa.int64()))]
+            made = [*(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (node, fp)), pa.array(size, pa.int32()), pa.array(head, pa.list_(pa.int64()))]
             made.append(pa.array(last, pa.struct([("place", pa.int64()), ("hash", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["file", "row", "doc_id", "node", "size", "head", "last"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["file", "row", "doc_id", "node", "fp", "size", "head", "last"])
 
-    return docs.select("file", "row", "doc_id", "text").mapInArrow(run, "file string, row long, doc_id long, node long, size int, head array<long>, last struct<place: long, hash: long>")
+    return docs.select("file", "row", "doc_id", "text").mapInArrow(run, "file string, row long, doc_id long, node long, fp long, size int, head array<long>, last struct<place: long, hash: long>")
 
 
 def _plausible(pairs: DataFrame, each: DataFrame, similarity: float) -> DataFrame:
@@ -351,6 +351,19 @@ def _confirmed(pairs: DataFrame, each: DataFrame, docs: DataFrame, width: int, s
     return links, [path]
 
 
+def _alike(each: DataFrame, similarity: float, errors: int) -> tuple[DataFrame, list[str]]:
+    """Pairs (u, v) of nodes that fingerprints link: those of one fingerprint with its first node, and first nodes along the links that
+    the trie join of fingerprints at most ``errors`` bits apart finds."""
+    of, path = keep(each.groupBy("fp").agg(F.min(F.struct("size", "node")).alias("at"), F.count("*").alias("_n")), "fingerprints")
+    links = near_links(of.select("fp"), errors)
+    end = lambda n: of.select(F.col("fp").alias(n), F.col("at").alias(f"at_{n}"))
+    across = links.join(end("u"), "u").join(end("v"), "v").select(F.col("at_u").alias("a"), F.col("at_v").alias("b"))
+    same = join_hot(each.select("fp", F.struct("size", "node").alias("a")), of.where("_n > 1").select("fp", F.col("at").alias("b")), ["fp"], counts=of.select("fp", "_n")).select("a", "b")
+    fit = f"a.node <> b.node AND least(a.size, b.size) >= {similarity!r}D * greatest(a.size, b.size) - 1e-9D"
+    pairs = across.unionByName(same).where(fit).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"))
+    return pairs, [path]
+
+
 CHUNK = 100_000  # rows of a shingle in which neighbours are looked for in one task
 
 
@@ -401,12 +414,14 @@ def _apart(live: DataFrame, roots: DataFrame) -> tuple[DataFrame, list[str]]:
     return pairs.select(F.col("node").alias("u"), F.col("node2").alias("v"), "size", "pos", "size2", "pos2"), [path, key_path, mixed_path]
 
 
-def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, errors: int = 3) -> DataFrame:
     """``docs`` without near copies: of each group of linked texts the row with the smallest doc_id (null last) stays.
 
     Texts link exactly when their sets of ``width``-word shingles have this Jaccard ``similarity`` or more; texts without
-    words are one group. Pairs meet by a shingle of their heads, so none is missed. First neighbours within a shingle are
-    compared, then what is not linked by then, so that groups of many near copies stay about linear.
+    words are one group. SimHash comes first: pairs that the trie join of their fingerprints links (at most ``errors`` of 64 bits
+    apart) are compared as whole sets. Fingerprints that near tell nearly the same sets only; the rest of the pairs meet by a shingle
+    of their heads, so none is missed: neighbours and centres within a shingle together with the SimHash pairs, then what is not
+    linked by then, so that groups of many near copies stay about linear.
     """
     from .sharding import addressed
 
@@ -415,11 +430,12 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     texts = rows.select("file", "row", F.col("record.doc_id").alias("doc_id"), F.col("record.text").alias("text"))
     made, made_path = keep(_heads(texts, width, similarity), "heads")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "file", "row"))
-    each, each_path = keep(made.groupBy("node").agg(first.alias("first"), F.first("size").alias("size"), F.first("head").alias("head"), F.first("last").alias("last")), "distinct")
+    each, each_path = keep(made.groupBy("node").agg(first.alias("first"), F.first("size").alias("size"), F.first("head").alias("head"), F.first("last").alias("last"), F.first("fp").alias("fp")), "distinct")
+    alike, fp_old = _alike(each, similarity, errors)
     live, old = _meeting(each, similarity)
     reach = F.expr(_reaches(similarity))
-    links, more = _confirmed(_neighbours(live).where(reach).select("u", "v"), each, texts, width, similarity)
-    old += more
+    links, more = _confirmed(_neighbours(live).where(reach).select("u", "v").unionByName(alike), each, texts, width, similarity)
+    old += more + fp_old
     apart, more = _apart(live, components(links))
     old += more
     rest, more = _confirmed(apart.where(reach).select("u", "v"), each, texts, width, similarity)

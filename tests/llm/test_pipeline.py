@@ -155,3 +155,32 @@ def test_copies_of_one_text_meet_it(spark, monkeypatch):
     want = remaining(texts)
     assert kept_places(spark, texts) == want and len(want) < 10
     assert compared[1] < 141 * 10  # of 9,870 pairs
+
+
+def test_fingerprints_are_joined_first(spark, monkeypatch):
+    from xxhash import xxh64_intdigest
+
+    rng = random.Random(5)
+    texts = []
+    for _ in range(30):
+        words = [f"{rng.getrandbits(40):x}" for _ in range(400)]
+        texts += [" ".join(words), " ".join(words[:-1])]
+    given, found, compared, join, real = [], [], [], simhash.near_links, simhash._confirmed
+
+    def joining(fps, *rest):
+        given.extend(r.fp & (2**64 - 1) for r in fps.collect())
+        links = join(fps, *rest)
+        found.append(links.count())
+        return links
+
+    def counting(pairs, *rest):
+        compared.append(pairs.distinct().count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "near_links", joining)
+    monkeypatch.setattr(simhash, "_confirmed", counting)
+    monkeypatch.setattr(simhash, "_neighbours", lambda live: live.selectExpr("node u", "node v", "size", "pos", "size size2", "pos pos2").limit(0))
+    assert kept_places(spark, texts) == {2 * k for k in range(30)}
+    sets = [[xxh64_intdigest(s.encode(), 42) for s in shingles(t)] for t in texts]
+    assert set(given) == {sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) for hs in sets}
+    assert found[0] > 20 and compared[0] > 20 and compared[1] < 10  # fingerprints alone link most of them
