@@ -2,13 +2,15 @@
 
 Every text becomes ``▁`` + text with spaces as ``▁``. No piece of such a vocabulary has a ``▁``
 after another character (checked when the model is loaded), so merges never cross the place where a
-``▁`` follows another character: the text falls into segments that are encoded one by one. In each
-segment an agenda holds all adjacent symbol pairs whose concatenation is a piece; the pair with the
+``▁`` follows another character: the text falls into segments that are encoded one by one. Likewise a
+segment falls apart between two characters that no piece has side by side, and each different part is encoded once. In each
+part an agenda holds all adjacent symbol pairs whose concatenation is a piece; the pair with the
 highest score (ties: the leftmost) is merged until the agenda is empty. Symbols that are no piece
 become byte pieces.
 
-Short segments go through the agenda side by side, one lane each, and every round pops the best
-pair of all lanes; long ones use a heap. New segments of each Arrow batch are compared with the
+Short parts go through the agenda side by side, one lane each, and every round pops the best
+pair of all lanes; long ones use a heap. The different segments of an Arrow slice are found and joined in Arrow; a worker remembers
+those it met last. New segments of each Arrow batch are compared with the
 sentencepiece library, which also decodes, and so is one whole text of it: a difference is an error, never mended silently.
 Only byte-fallback models of merge type that neither fold nor collapse white space are accepted; their normalizer is tried out
 when the model is loaded.
@@ -26,13 +28,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import bind_text, parts, table
 
 SPACE = "▁"
-LANE = 32  # segments up to so many characters go side by side
-CACHED = 200_000  # segments that a worker remembers; then it forgets all but those at hand
+LANE = 32  # parts of segments up to so many characters go side by side
+CACHED = 300_000  # segments of one generation; a worker remembers this one and the one before
 OTHER = 1 << 16  # symbol number of a character that is no piece: OTHER + code point
 SHIFT = 21
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, agreed boolean"
@@ -58,6 +61,14 @@ class AgendaEncoder:
             if len(p) == 1:
                 self.symbol[ord(p)] = i
         known = lambda s: pieces.get(s, int(self.symbol[ord(s)]) if len(s) == 1 else None)
+        signs = sorted({c for p in pieces if len(p) > 1 for c in p})
+        number = {c: k for k, c in enumerate(signs, 1)}
+        self.sign = np.zeros(0x110000, dtype=np.uint16)  # 0: in no piece beside another character
+        self.sign[[ord(c) for c in signs]] = np.arange(1, len(signs) + 1)
+        self.beside = np.zeros((len(signs) + 1, len(signs) + 1), dtype=bool)
+        for p in pieces:
+            for a, b in zip(p, p[1:]):
+                self.beside[number[a], number[b]] = True
         pairs = {}
         for p, i in pieces.items():
             for cut in range(1, len(p)):
@@ -153,18 +164,39 @@ class AgendaEncoder:
             ids += [s] if s < OTHER else [self.byte[b] for b in chr(s - OTHER).encode("utf-8")]
         return ids
 
-    def encode_segments(self, segments: list[str]) -> list[list[int]]:
-        out: list = [None] * len(segments)
-        short = sorted((k for k, s in enumerate(segments) if len(s) <= LANE), key=lambda k: len(segments[k]))
+    def agendas(self, parts: list[str]) -> list[list[int]]:
+        """Ids of parts of segments, each by its own agenda."""
+        out: list = [None] * len(parts)
+        short = sorted((k for k, s in enumerate(parts) if len(s) <= LANE), key=lambda k: len(parts[k]))
         for at in range(0, len(short), 8192):
-            part = short[at : at + 8192]
-            for k, ids in zip(part, self.lanes([segments[k] for k in part])):
+            some = short[at : at + 8192]
+            for k, ids in zip(some, self.lanes([parts[k] for k in some])):
                 out[k] = ids
-        for k, s in enumerate(segments):
+        for k, s in enumerate(parts):
             if out[k] is None:
                 out[k] = self.heap(s)
         return out
 
+    def fall_apart(self, segments: list[str]) -> tuple[list[str], list[int]]:
+        """Parts of all segments, cut between characters that no piece has side by side, and where each segment's parts end."""
+        text = "".join(segments)
+        sign = self.sign[np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)]
+        ends = np.cumsum(np.fromiter(map(len, segments), dtype=np.int64, count=len(segments)))
+        cut = np.ones(len(text) + 1, dtype=bool)
+        cut[1:-1] = ~self.beside[sign[:-1], sign[1:]]
+        cut[ends] = True
+        at = np.flatnonzero(cut)
+        places = at.tolist()
+        return [text[a:b] for a, b in zip(places, places[1:])], np.searchsorted(at, ends).tolist()
+
+    def encode_segments(self, segments: list[str]) -> list[list[int]]:
+        if not segments:
+            return []
+        parts, ends = self.fall_apart(segments)
+        each = list(dict.fromkeys(parts))
+        ids = dict(zip(each, self.agendas(each)))
+        return [ids[parts[a]] if b == a + 1 else [i for p in parts[a:b] for i in ids[p]] for a, b in zip([0, *ends], ends)]
+
     def split(self, text: str) -> list[str]:
         return self.segments(SPACE + text.replace(" ", SPACE)) if text else []
 
@@ -178,40 +210,63 @@ class AgendaEncoder:
 
 
 class BatchEncoder:
-    """Encodes lists of texts; remembers the segments it has seen as decimal ids."""
+    """Encodes texts; remembers the segments it has met as decimal ids, by what follows their first ``▁``.
+
+    When a generation of them is full, the one before is forgotten, but for what was met since.
+    """
+
+    ODD = f"^( |$)|  |{SPACE}"  # texts whose segments are not just the words between single spaces
 
     def __init__(self, model: str):
         self.agenda = AgendaEncoder(model)
         self.known: dict[str, str] = {}
+        self.older: dict[str, str] = {}
 
     def learn(self, new: list[str]) -> None:
         agenda = self.agenda
+        own = agenda.encode_segments([SPACE + s for s in new])
         # a lone run of spaces loses one to the library's own first space; "" would give no ids
-        own = agenda.encode_segments(new)
-        plain = [k for k, s in enumerate(new) if s != SPACE]
-        for k, ids in zip(plain, agenda.library_ids([new[k] for k in plain])):
+        plain = [k for k, s in enumerate(new) if s]
+        for k, ids in zip(plain, agenda.library_ids([SPACE + new[k] for k in plain])):
             if ids != own[k]:
-                raise ValueError(f"the agenda and the library differ on {new[k]!r}")
+                raise ValueError(f"the agenda and the library differ on {SPACE + new[k]!r}")
         self.known.update(zip(new, (" ".join(map(str, ids)) for ids in own)))
 
-    def __call__(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, str, str, bool]]:
-        """(ids, decimal ids, decoded text, whether it agreed with the library as far as compared) of each text."""
-        split, end, decode = self.agenda.split, str(self.agenda.end), self.agenda.library.decode
-        parts = [split(t) if t else [] for t in texts]
+    def look_up(self, segments: list[str]) -> list[str]:
+        """Decimal ids of different segments."""
         if len(self.known) > CACHED:
-            at_hand = {s for p in parts for s in p}
-            self.known = {s: ids for s, ids in self.known.items() if s in at_hand}
-        known = self.known
-        new = list({s for p in parts for s in p if s not in known})
-        if new:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        missed = [s for s in segments if s not in known]
+        known.update((s, older[s]) for s in missed if s in older)
+        if new := [s for s in missed if s not in known]:
             self.learn(new)
-        whole = sum(map(len, parts)) % max(1, len(parts))
-        for k, p in enumerate(parts):
-            decimal = " ".join([*map(known.__getitem__, p), end])
+        return [known[s] for s in segments]
+
+    def decimals(self, segments: pa.ListArray) -> list[str]:
+        """Decimal ids of texts, given as lists of segments, without the end id."""
+        coded = segments.flatten().dictionary_encode()
+        each = pa.array(self.look_up(coded.dictionary.to_pylist()), pa.large_string())
+        offsets = pc.subtract(segments.offsets, segments.offsets[0]).cast(pa.int64())
+        joined = pa.LargeListArray.from_arrays(offsets, each.take(coded.indices))
+        return pc.binary_join(joined, pa.scalar(" ", pa.large_string())).to_pylist()
+
+    def __call__(self, texts: pa.Array | list[str | None]) -> Iterator[tuple[np.ndarray, str, str, bool]]:
+        """(ids, decimal ids, decoded text, whether it agreed with the library as far as compared) of each text."""
+        split, end, library = self.agenda.split, str(self.agenda.end), self.agenda.library
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        odd = pc.match_substring_regex(texts, self.ODD)
+        plain = iter(self.decimals(pc.split_pattern(texts.filter(pc.invert(odd)), " ")))
+        others = [[s[1:] for s in split(t)] for t in texts.filter(odd).to_pylist()]
+        others = iter(self.decimals(pa.array(others, pa.list_(pa.string()))))
+        decimals = [next(others if k else plain) for k in odd.to_pylist()]
+        whole = sum(map(len, decimals)) % max(1, len(decimals))
+        for k, decimal in enumerate(decimals):
+            decimal = f"{decimal} {end}" if decimal else end
             ids = np.fromstring(decimal, dtype=np.int32, sep=" ")
-            if k == whole and self.agenda.library.encode(texts[k] or "", add_eos=True) != ids.tolist():
+            if k == whole and library.encode(texts[k].as_py(), add_eos=True) != ids.tolist():
                 raise ValueError("segments encoded one by one differ from the whole text")
-            yield ids, decimal, decode(ids), True
+            yield ids, decimal, library.decode(ids), True
 
 
 _ENCODERS: dict[str, BatchEncoder] = {}
@@ -239,7 +294,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", de
         enc = encoder(model)
         for batch in parts(batches, at):
             ids, back = [], []
-            for own, _, text, _ in enc(batch.column(at).to_pylist()):
+            for own, _, text, _ in enc(batch.column(at)):
                 ids.append(own)
                 if decoded:
                     back.append(text)
@@ -256,7 +311,7 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
         enc = encoder(model)
         sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
         for batch in parts(batches, 1):
-            rows = [(len(ids), sha(decimal), sha(back), agreed) for ids, decimal, back, agreed in enc(batch.column(1).to_pylist())]
+            rows = [(len(ids), sha(decimal), sha(back), agreed) for ids, decimal, back, agreed in enc(batch.column(1))]
             n, a, b, ok = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(ok, pa.bool_())],

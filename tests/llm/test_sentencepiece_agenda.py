@@ -58,3 +58,31 @@ def test_encode_keeps_the_columns(odd_docs):
         assert r.ids == LIBRARY.encode(r.text or "", add_eos=True)
     with pytest.raises(ValueError):
         S.encode(odd_docs, MODEL)
+
+
+def test_segments_met_again_are_not_learned_again(monkeypatch):
+    """A generation is forgotten only if nothing of it was met since; before, whatever a slice lacked was learned anew."""
+    monkeypatch.setattr(S, "CACHED", 40)
+    own, learned = S.BatchEncoder(MODEL), []
+    learn = own.learn
+    monkeypatch.setattr(own, "learn", lambda new: (learned.extend(new), learn(new)))
+    for k in range(12):
+        texts = [f"rare{k}x{j}" for j in range(30)] + ["often"] * (k % 2)
+        assert [list(r[0]) for r in own(texts)] == [LIBRARY.encode(t, add_eos=True) for t in texts]
+    assert learned.count("often") == 1 and len(own.known) + len(own.older) <= 150
+
+
+def test_odd_spaces_beside_plain_texts():
+    texts = ["a b", "", " ", "  ", " a", "a ", "a  b", "▁", "a▁b", "▁ a", "a ▁", "a\nb c\n", "\n", None, "one two", "  x  y  ", "x" * 5000 + " y" * 3000, "　 a▁"]
+    for some in (texts, texts[:1], texts[1:3], []):
+        rows = list(OWN(some))
+        assert [list(ids) for ids, *_ in rows] == [LIBRARY.encode(t or "", add_eos=True) for t in some]
+        assert all(decimal == " ".join(map(str, ids)) and back == LIBRARY.decode(ids.tolist()) for ids, decimal, back, _ in rows)
+
+
+def test_parts_of_a_segment_are_encoded_once(monkeypatch):
+    asked, agendas = [], OWN.agenda.agendas
+    monkeypatch.setattr(OWN.agenda, "agendas", lambda parts: (asked.extend(parts), agendas(parts))[1])
+    segments = [f"▁end.\nBeginning{mark}\nNext" for mark in ".,;"]
+    assert OWN.agenda.encode_segments(segments) == OWN.agenda.library_ids(segments)
+    assert asked.count("\n") == 1 and asked.count("Next") == 1
