@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -22,8 +23,13 @@ NODE = "ord array<struct<branch:int,place:int>>, path string, key string, pos in
 UNSET = object()  # no value given; None is null
 
 
+ENCODER = json.JSONEncoder(ensure_ascii=False, separators=(",", ":"), check_circular=False)
+
+
 def text_of(value) -> str:
-    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    if type(value) is int or type(value) is float and math.isfinite(value):
+        return repr(value)
+    return ENCODER.encode(value)
 
 
 def loads(text: str | None):
@@ -134,28 +140,31 @@ class JsonFrame:
         """``change(document) -> (document, deleted values)`` on each text."""
         ship(self.df.sparkSession)
 
-        def run(texts: pd.Series) -> pd.DataFrame:
+        def run(texts: pa.Array) -> pa.Array:
             new, gone = [], []
-            for text in texts:
+            for text in texts.to_pylist():
                 root, good = loads(text)
                 root, lost = change(root) if good else (None, [])
                 new.append(text_of(root) if good else text)
-                gone.append([text_of(x) for x in lost])
-            return pd.DataFrame({"doc": new, "gone": gone})
+                if deleted:
+                    gone.append([text_of(x) for x in lost])
+            gone = pa.array(gone, pa.list_(pa.string())) if deleted else pa.nulls(len(new), pa.list_(pa.string()))
+            return pa.StructArray.from_arrays([pa.array(new, pa.string()), gone], ["_new", "_gone"])
 
-        done = F.pandas_udf(run, "doc string, gone array<string>")
+        done = F.arrow_udf(run, "_new string, _gone array<string>")
         source = self._texts()
-        out = source.withColumn("_done", done(F.col(f"`{self.doc}`")))
-        new = F.col("_done.doc")
-        out = out.withColumn(self.doc, F.try_parse_json(new) if self.is_variant else new)
-        return (out.withColumn(deleted, F.col("_done.gone")) if deleted else out).drop("_done")
+        kept = [F.col(f"`{c}`") for c in source.columns]
+        out = source.select(*kept, F.inline(F.array(done(F.col(f"`{self.doc}`")))))  # no filter is moved below a generator, which would change documents twice
+        new = F.try_parse_json("_new") if self.is_variant else F.col("_new")
+        out = out.withColumn(self.doc, new)
+        return (out.withColumn(deleted, F.col("_gone")) if deleted else out).drop("_new", "_gone")
 
     def delete(self, query: str | Path, deleted: str | None = None) -> DataFrame:
         """Without the nodes found; ``deleted`` names a column for their values."""
         path = parse(query) if isinstance(query, str) else query
         if deleted is None and path.segments and self._native(path):
             return self._edit(path, None)
-        return self._rewrite(lambda root: evaluate.delete(path, root), deleted)
+        return self._rewrite(lambda root: evaluate.delete(path, root, own=True, values=deleted is not None), deleted)
 
     def _edit(self, path: Path, value: Column | None) -> DataFrame:
         """Rewriting in Catalyst; members of rewritten documents are sorted."""
@@ -168,7 +177,7 @@ class JsonFrame:
     def delete_if(self, query: str | Path, choice: Callable, deleted: str | None = None) -> DataFrame:
         """Without the nodes for which ``choice(value, parent, key, path)`` holds."""
         path = parse(query) if isinstance(query, str) else query
-        return self._rewrite(lambda root: evaluate.delete(path, root, lambda n: choice(n.value, n.parent, n.key, n.path)), deleted)
+        return self._rewrite(lambda root: evaluate.delete(path, root, lambda n: choice(n.value, n.parent, n.key, n.path), own=True), deleted)
 
     def replace(self, query: str | Path, value=UNSET, by: Callable | None = None) -> DataFrame:
         """With ``value`` (None: null), or ``by(value, parent, key, path)``, at every match."""
@@ -180,7 +189,7 @@ class JsonFrame:
         if by is None and self._native(path):
             return self._edit(path, F.parse_json(F.lit(text_of(value))))
         change = (lambda n: by(n.value, n.parent, n.key, n.path)) if by else None
-        return self._rewrite(lambda root: (evaluate.replace(path, root, None if by else value, change), []))
+        return self._rewrite(lambda root: (evaluate.replace(path, root, None if by else value, change, own=True), []))
 
     def insert(self, query: str | Path, value, exists: Callable | None = None, errors: str | None = None) -> DataFrame:
         """With ``value`` at a new name or array end; a document where that can't be fails the job, unless ``errors`` names a column for the reason."""
@@ -188,11 +197,11 @@ class JsonFrame:
         if not path.singular or not path.segments:
             raise PathError("insert may only be used with a singular query", str(path))
         if errors is None:
-            return self._rewrite(lambda root: (evaluate.insert(path, root, value, exists), []))
+            return self._rewrite(lambda root: (evaluate.insert(path, root, value, exists, own=True), []))
 
         def change(root):
             try:
-                return evaluate.insert(path, root, value, exists), []
+                return evaluate.insert(path, root, value, exists, own=exists is None), []  # what exists() did before an error doesn't count
             except PathError as e:
                 return root, [e.detail]
 

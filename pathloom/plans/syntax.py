@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 LIMIT = 2**53 - 1
 SHORT = re.compile(r"[A-Za-z_\u0080-\ud7ff\ue000-\U0010ffff][0-9A-Za-z_\u0080-\ud7ff\ue000-\U0010ffff]*").fullmatch
@@ -98,7 +99,7 @@ class Segment:
                 return f"{dots or '.'}{only.name}"
         return f"{dots}[{', '.join(map(str, self.selectors))}]"
 
-    @property
+    @cached_property
     def singular(self) -> bool:
         return not self.descendant and len(self.selectors) == 1 and isinstance(self.selectors[0], (Name, Index))
 
@@ -114,7 +115,7 @@ class Path:
     def __str__(self) -> str:
         return self.root + "".join(map(str, self.segments))
 
-    @property
+    @cached_property
     def singular(self) -> bool:
         return all(s.singular for s in self.segments)
 
