@@ -6,6 +6,7 @@ import json
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -18,7 +19,7 @@ from ..shipping import ship
 from . import evaluate, native
 
 NODE = "ord array<struct<branch:int,place:int>>, path string, key string, pos int, value string, parent string"
-
+MOST_NODES, MOST_CHARS = 20_000, 4_000_000  # in an Arrow batch
 
 UNSET = object()  # no value given; None is null
 
@@ -72,36 +73,47 @@ class JsonFrame:
         if self._native(path):
             found = native.rows(self.variants(), self.doc, path)
             return found.select(*kept, *(F.col(f"_{c}").alias(c) for c in ("ord", "path", "key", "pos", "value", "parent")))
-        found = self._python_nodes(path, parents)
+        found = self._python_nodes(path, parents, keep_doc)
         kept = [F.col(f"c{k}").alias(c) for k, c in enumerate(self.df.columns) if c in others]
         return found.select(*kept, "ord", "path", "key", "pos", F.try_parse_json("value").alias("value"), F.try_parse_json("parent").alias("parent"))
 
-    def _python_nodes(self, path: Path, parents: bool) -> DataFrame:
+    def _python_nodes(self, path: Path, parents: bool, keep_doc: bool) -> DataFrame:
         ship(self.df.sparkSession)
         texts = self._texts()
         at = texts.columns.index(self.doc)
         texts = texts.toDF(*(f"c{k}" for k in range(len(texts.columns))))  # whatever the names
-        schema = T.StructType([*texts.schema.fields, *T.StructType.fromDDL(NODE).fields])
-        order = pa.list_(pa.struct([("branch", pa.int32()), ("place", pa.int32())]))
+        beside = [k for k in range(len(texts.columns)) if keep_doc or k != at]  # a document's text is not repeated for each node
+        schema = T.StructType([*(texts.schema.fields[k] for k in beside), *T.StructType.fromDDL(NODE).fields])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows, made = [], {"ord": [], "path": [], "key": [], "pos": [], "value": [], "parent": []}
+                rows, places, made, size, host, wide = [], [], ([], [], [], [], []), 0, None, None
                 for k, text in enumerate(batch.column(at).to_pylist()):
                     root, good = loads(text)
                     if not good:
                         continue
                     for place, node in enumerate(evaluate.find(path, root)):
+                        key = node.keys[-1] if node.keys else None
+                        named = isinstance(key, str)
+                        value = text_of(node.value)
+                        if parents and node.parent is not host:  # siblings share a text
+                            host, wide = node.parent, None if node.parent is None else text_of(node.parent)
                         rows.append(k)
-                        made["ord"].append([{"branch": 0, "place": place}])
-                        made["path"].append(node.path)
-                        made["key"].append(node.key if isinstance(node.key, str) else None)
-                        made["pos"].append(node.key if isinstance(node.key, int) else None)
-                        made["value"].append(text_of(node.value))
-                        made["parent"].append(text_of(node.parent) if parents and node.parent is not None else None)
-                kinds = {"ord": order, "pos": pa.int32()}
-                columns = [pa.array(v, kinds.get(n, pa.string())) for n, v in made.items()]
-                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(rows, pa.int64())).columns, *columns], names=schema.names)
+                        places.append(place)
+                        for column, x in zip(made, (node.path, key if named else None, None if named else key, value, wide)):
+                            column.append(x)
+                        size += len(value) + len(wide or "")
+                        if len(rows) >= MOST_NODES or size >= MOST_CHARS:
+                            yield batch_of(batch, rows, places, made)
+                            rows, places, made, size = [], [], ([], [], [], [], []), 0
+                yield batch_of(batch, rows, places, made)
+
+        def batch_of(batch: pa.RecordBatch, rows: list, places: list, made: tuple) -> pa.RecordBatch:
+            n, at_rows = len(rows), pa.array(rows, pa.int64())
+            order = pa.StructArray.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(places, pa.int32())], ["branch", "place"])
+            order = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32)), order)
+            columns = [pa.array(x, pa.int32() if k == 2 else pa.string()) for k, x in enumerate(made)]
+            return pa.RecordBatch.from_arrays([*(batch.column(k).take(at_rows) for k in beside), order, *columns], names=schema.names)
 
         return texts.mapInArrow(run, schema)
 
