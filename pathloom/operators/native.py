@@ -7,6 +7,9 @@ nodelist is an array of variants. Predicates are never NULL: NULL is "nothing",
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any, NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,14 +34,28 @@ def object_view(v: Column) -> Column:
     return F.try_variant_get(v, "$", "map<string,variant>")
 
 
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def kind(v: Column) -> Column:
     """number, string, boolean, null, array or object; NULL for nothing."""
-    s = F.schema_of_variant(v)
-    return (
-        F.when(v.isNull(), F.lit(None).cast("string"))
+    return let(F.schema_of_variant(v), lambda s: (
+        F.when(s.isNull(), F.lit(None).cast("string"))
         .when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array")
         .when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").when(s == "VOID", "null").otherwise("number")
-    )
+    ))
+
+
+def is_number(v: Column) -> Column:
+    """Of a value that a number can be read from, which is no container."""
+    return ~F.schema_of_variant(v).isin("STRING", "BOOLEAN", "VOID")
+
+
+def is_string(v: Column) -> Column:
+    """Of a value that text can be read from."""
+    return F.schema_of_variant(v) == "STRING"
 
 
 def member(v: Column, name: str) -> Column:
@@ -53,12 +70,25 @@ def element(v: Column, index: int) -> Column:
     return F.try_element_at(array_view(v), F.lit(index)) if -(2**31) <= index < 0 else F.lit(None).cast("variant")
 
 
+def _plain(s) -> str | None:
+    """The selector as a part of a path that ``variant_get`` takes."""
+    if isinstance(s, Name):
+        return None if "'" in s.name or "\\" in s.name or '"' in s.name else f"['{s.name}']"
+    return f"[{s.index}]" if 0 <= s.index < 2**31 else None
+
+
 def one(v: Column, path: Path) -> Column:
-    """The single node of a singular query, or NULL."""
+    """The single node of a singular query, or NULL; runs of plain names and indexes are one step."""
+    run = ""
     for segment in path.segments:
         (s,) = segment.selectors
+        if (part := _plain(s)) is not None:
+            run += part
+            continue
+        if run:
+            v, run = F.try_variant_get(v, f"${run}", "variant"), ""
         v = member(v, s.name) if isinstance(s, Name) else element(v, s.index)
-    return v
+    return F.try_variant_get(v, f"${run}", "variant") if run else v
 
 
 def chosen(s: Slice, pos: Column, n: Column) -> tuple[Column, Column]:
@@ -97,20 +127,24 @@ def _selected(s, v: Column, root: Column) -> Column:
     if isinstance(s, Filter):
         return F.filter(_children(v), lambda x: predicate(s.test, x, root))
     items = F.coalesce(array_view(v), F.array().cast("array<variant>"))
-    taken = F.filter(items, lambda x, k: chosen(s, k, F.size(items))[0])
+    taken = let(items, lambda all_of: F.filter(all_of, lambda x, k: chosen(s, k, F.size(all_of))[0]))
     return F.reverse(taken) if (s.step or 1) < 0 else taken
 
 
 def nodelist(path: Path, current: Column, root: Column) -> Column:
     """All nodes of a path as an array of variants."""
-    nodes = F.array(current if path.root == "@" else root)
-    for segment in path.segments:
+    start = current if path.root == "@" else root
+    nodes = F.array(start)
+    for k, segment in enumerate(path.segments):
+        if not k:
+            nodes = _step(segment.selectors, root)(start) if len(segment.selectors) == 1 else F.flatten(F.transform(nodes, _step(segment.selectors, root)))
+            continue
         nodes = F.flatten(F.transform(nodes, _step(segment.selectors, root)))
     return nodes
 
 
 def _step(selectors: tuple, root: Column):
-    return lambda v: F.concat(*(_selected(s, v, root) for s in selectors))
+    return lambda v: F.concat(*(_selected(s, v, root) for s in selectors)) if len(selectors) > 1 else _selected(selectors[0], v, root)
 
 
 def operand(part, current: Column, root: Column) -> Column:
@@ -121,7 +155,7 @@ def operand(part, current: Column, root: Column) -> Column:
         return one(current if part.root == "@" else root, part)
     if part.name == "value":
         nodes = nodelist(part.args[0], current, root)
-        return F.when(F.size(nodes) == 1, F.get(nodes, 0))
+        return let(nodes, lambda x: F.when(F.size(x) == 1, F.get(x, F.lit(0))))
     return F.to_variant_object(F.array(number(part, current, root)))  # not reached: numbers are compared as numbers
 
 
@@ -152,78 +186,116 @@ def _sized(part) -> bool:
 WHOLE = "decimal(38,0)"
 
 
-def _as_number(part, current: Column, root: Column) -> tuple[Column, Column]:
-    """(double, decimal where it is a whole number or else NULL) where the operand is a number, else NULL.
+def _key(v: Column) -> Column:
+    """Text that is equal for equal values that are no numbers; NULL for nothing and for numbers."""
+    k = kind(v)
+    return F.when(k != "number", F.concat(k, F.lit(":"), F.to_json(v)))
+
+
+BIG = 2.0**53
 
-    Doubles decide, but for whole numbers, which are exact beyond 2^53 as decimals.
-    """
-    if _sized(part):
-        n = number(part, current, root)
-        return n.cast("double"), n.cast(WHOLE)
-    v = operand(part, current, root)
-    is_number = kind(v) == "number"
-    double, whole = F.try_variant_get(v, "$", "double"), F.try_variant_get(v, "$", WHOLE)
-    exact = F.schema_of_variant(v).isin("BIGINT", "INT", "SMALLINT", "TINYINT") | F.schema_of_variant(v).rlike(r"^DECIMAL\(\d+,0\)$")
-    return F.when(is_number, double), F.when(is_number & exact, whole)
+
+def _whole(v: Column) -> Column:
+    """A whole number, which is exact beyond 2^53, or NULL."""
+    s = F.schema_of_variant(v)
+    exact = s.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | s.rlike(r"^DECIMAL\(\d+,0\)$")
+    return F.when(exact, F.try_variant_get(v, "$", WHOLE))
 
 
 def _as_string(part, current: Column, root: Column) -> Column:
     if _sized(part):
         return F.lit(None).cast("string")
     v = operand(part, current, root)
-    return F.when(kind(v) == "string", F.try_variant_get(v, "$", "string"))
+    return F.when(is_string(v), F.try_variant_get(v, "$", "string"))
 
 
-def _key(part, current: Column, root: Column) -> Column:
-    """Text that is equal for equal values that are no numbers; NULL for nothing and for numbers."""
+OPS = {"==": lambda p, q: p == q, "<": lambda p, q: p < q, "<=": lambda p, q: p <= q}
+FALSE = lambda: F.lit(False)
+
+
+class Side(NamedTuple):
+    kind: str  # variant, size (an int) or literal
+    value: Any
+
+
+def _side(part, current: Column, root: Column) -> Side:
     if _sized(part):
-        return F.lit(None).cast("string")
-    v = operand(part, current, root)
-    k = kind(v)
-    return F.when(k != "number", F.concat(k, F.lit(":"), F.to_json(v)))
+        return Side("size", number(part, current, root))
+    if isinstance(part, Literal):
+        v = part.value
+        if isinstance(v, (int, float)) and not isinstance(v, bool) and not abs(v) < BIG:
+            return Side("variant", operand(part, current, root))
+        return Side("literal", v)
+    return Side("variant", operand(part, current, root))
+
+
+def _numbers(op: str, left: Side, right: Side) -> Column:
+    """Doubles decide, but for whole numbers from 2^53 on that are equal as doubles. Kinds are looked at last, where the numbers compare at all."""
+    sides = (left, right)
+    a, b = (F.lit(float(s.value)) if s.kind == "literal" else s.value.cast("double") if s.kind == "size" else F.try_variant_get(s.value, "$", "double") for s in sides)
+    out = OPS[op](a, b)
+    if left.kind == right.kind == "variant":
+        beyond = (a == b) & (F.abs(a) >= BIG)
+        exact = OPS[op](_whole(left.value), _whole(right.value))
+        out = out & ~(beyond & ~F.coalesce(exact, F.lit(True))) if op != "<" else out | beyond & F.coalesce(exact, FALSE())
+    out = F.coalesce(out, FALSE())
+    for s in sides:
+        if s.kind == "variant":
+            out = out & is_number(s.value)
+    return out
+
+
+def _strings(op: str, left: Side, right: Side) -> Column:
+    if "size" in (left.kind, right.kind):
+        return FALSE()
+    a, b = (F.lit(s.value) if s.kind == "literal" else F.try_variant_get(s.value, "$", "string") for s in (left, right))
+    kinds = [is_string(s.value) for s in (left, right) if s.kind == "variant"]
+    out = OPS[op](a, b) & kinds[0] if len(kinds) == 1 else kinds[0] & kinds[1] & OPS[op](a, b)
+    return F.coalesce(out, FALSE())
 
 
-def _nothing(part, current: Column, root: Column) -> Column:
-    return number(part, current, root).isNull() if _sized(part) else operand(part, current, root).isNull()
+def _same(left: Side, right: Side) -> Column:
+    """Both nothing, or equal and no numbers."""
+    none = left.value.isNull() & right.value.isNull()
+    return none if "size" in (left.kind, right.kind) else none | F.coalesce(_key(left.value) == _key(right.value), FALSE())
+
+
+def _constant(v: Side, scalar) -> Column:
+    """Whether a value is null, true or false."""
+    if v.kind == "size":
+        return FALSE()
+    if scalar is None:
+        return F.coalesce(F.is_variant_null(v.value), FALSE())
+    return F.coalesce((F.try_variant_get(v.value, "$", "boolean") == scalar) & (F.schema_of_variant(v.value) == "BOOLEAN"), FALSE())
 
 
 def compare(op: str, left, right, current: Column, root: Column) -> Column:
-    false = F.lit(False)
-    if op in (">", ">="):
-        left, right, op = right, left, {">": "<", ">=": "<="}[op]
     if isinstance(left, Literal) and isinstance(right, Literal):
         from .evaluate import compared
 
         return F.lit(compared(op, left.value, right.value))
-    literal = left if isinstance(left, Literal) else right if isinstance(right, Literal) else None
-    scalar = literal.value if literal else None
-    by_number = literal is None or isinstance(scalar, (int, float)) and not isinstance(scalar, bool)
-    by_string = literal is None or isinstance(scalar, str)
-    numbers = strings = None
-    if by_number:
-        (a, x), (b, y) = _as_number(left, current, root), _as_number(right, current, root)
-        numbers = lambda f: F.coalesce(F.when(x.isNotNull() & y.isNotNull(), f(x, y)).otherwise(f(a, b)), false)
-    if by_string:
-        s, t = _as_string(left, current, root), _as_string(right, current, root)
-        strings = lambda f: F.coalesce(f(s, t), false)
-    equal = less = None
-    if op != "<":
-        if literal is None:
-            keys = F.coalesce(_key(left, current, root) == _key(right, current, root), false)
-            none = _nothing(left, current, root) & _nothing(right, current, root)
-            equal = numbers(lambda p, q: p == q) | keys | none
-        elif by_number:
-            equal = numbers(lambda p, q: p == q)
-        elif by_string:
-            equal = strings(lambda p, q: p == q)
-        else:
-            equal = F.coalesce(_key(left, current, root) == _key(right, current, root), false)
-    if op in ("<", "<="):
-        parts = [f(lambda p, q: p < q) for f in (numbers, strings) if f]
-        less = parts[0] if parts else false
-        for p in parts[1:]:
-            less = less | p
-    return {"==": lambda: equal, "!=": lambda: ~equal, "<": lambda: less, "<=": lambda: less | equal}[op]()
+    if op == "!=":
+        return ~compare("==", left, right, current, root)
+    if op in (">", ">="):
+        left, right, op = right, left, {">": "<", ">=": "<="}[op]
+    a, b = _side(left, current, root), _side(right, current, root)
+    if isinstance(left, Call):  # what takes a nodelist to find is found once
+        return let(a.value, lambda x: let(b.value, lambda y: _compared(op, Side(a.kind, x), Side(b.kind, y))) if isinstance(right, Call) else _compared(op, Side(a.kind, x), b))
+    if isinstance(right, Call):
+        return let(b.value, lambda y: _compared(op, a, Side(b.kind, y)))
+    return _compared(op, a, b)
+
+
+def _compared(op: str, left: Side, right: Side) -> Column:
+    literal, other = (left, right) if left.kind == "literal" else (right, left)
+    if literal.kind != "literal":
+        ordered = _numbers(op, left, right)
+        if op != "==":
+            ordered = ordered | _strings(op, left, right)
+        return ordered if op == "<" else ordered | _same(left, right)
+    if literal.value is None or isinstance(literal.value, bool):
+        return FALSE() if op == "<" else _constant(other, literal.value)
+    return (_strings if isinstance(literal.value, str) else _numbers)(op, left, right)
 
 
 def predicate(test, current: Column, root: Column) -> Column:
@@ -273,18 +345,29 @@ def _any(segment, x: Column, key: Column | None, pos: Column | None, n: Column |
 
 
 def edited(v: Column, segments: tuple, root: Column, value: Column | None) -> Column:
-    """``v`` with ``value`` (a variant; None: nothing) at all nodes of a query without descendants; only what leads there is built anew."""
+    """``v`` with ``value`` (a variant; None: nothing) at all nodes of a query without descendants; only what leads there is built anew,
+    and only the kinds of containers are looked for in which a selector can find something. Children are taken out of a container once."""
     segment, *rest = segments
-    items, members = array_view(v), object_view(v)
-    n = F.size(items)
-    if rest or value is not None:
-        new = (lambda x: edited(x, tuple(rest), root, value)) if rest else lambda x: value
-        array = F.transform(items, lambda x, k: F.when(_any(segment, x, None, k, n, root), new(x)).otherwise(x))
-        names = F.transform_values(members, lambda k, x: F.when(_any(segment, x, k, None, None, root), new(x)).otherwise(x))
-    else:
-        array = F.filter(items, lambda x, k: ~_any(segment, x, None, k, n, root))
-        names = F.map_filter(members, lambda k, x: ~_any(segment, x, k, None, None, root))
-    return F.when(items.isNotNull(), F.to_variant_object(array)).when(members.isNotNull(), F.to_variant_object(names)).otherwise(v)
+    new = (lambda x: edited(x, tuple(rest), root, value)) if rest else lambda x: value
+
+    def array(items: Column) -> Column:
+        n = F.size(items)
+        if rest or value is not None:
+            return F.transform(items, lambda x, k: F.when(_any(segment, x, None, k, n, root), new(x)).otherwise(x))
+        return F.filter(items, lambda x, k: ~_any(segment, x, None, k, n, root))
+
+    def names(members: Column) -> Column:
+        if rest or value is not None:
+            return F.transform_values(members, lambda k, x: F.when(_any(segment, x, k, None, None, root), new(x)).otherwise(x))
+        return F.map_filter(members, lambda k, x: ~_any(segment, x, k, None, None, root))
+
+    out = []
+    if not all(isinstance(s, Name) for s in segment.selectors):
+        sized = any(isinstance(s, (Index, Slice)) for s in segment.selectors)
+        out.append(F.to_variant_object(let(array_view(v), array) if sized else array(array_view(v))))
+    if not all(isinstance(s, (Index, Slice)) for s in segment.selectors):
+        out.append(F.to_variant_object(names(object_view(v))))
+    return F.coalesce(*out, v)
 
 
 # ---- row form ---------------------------------------------------------------------------------
