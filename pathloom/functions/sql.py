@@ -4,38 +4,32 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.evaluate import find
-from ..operators.frame import loads, text_of
+from ..operators.evaluate import NOTHING, find
+from ..operators.frame import nodelists, text_of
 from ..plans.parser import parse
 from ..shipping import ship
 
 
-@F.pandas_udf("array<string>")
-def json_query(docs: pd.Series, queries: pd.Series) -> pd.Series:
+@F.arrow_udf("array<string>")
+def json_query(docs: pa.Array, queries: pa.Array) -> pa.Array:
     """All values, as JSON texts."""
-    found = ((loads(d), q) for d, q in zip(docs, queries))
-    return pd.Series([[text_of(n.value) for n in find(parse(q), root)] if good and q is not None else [] for (root, good), q in found], dtype=object)
+    return pa.array([[text_of(n.value) for n in nodes] for nodes in nodelists(docs, queries)], pa.list_(pa.string()))
 
 
-@F.pandas_udf("boolean")
-def json_exists(docs: pd.Series, queries: pd.Series) -> pd.Series:
-    found = ((loads(d), q) for d, q in zip(docs, queries))
-    return pd.Series([bool(good and q is not None and find(parse(q), root)) for (root, good), q in found])
+@F.arrow_udf("boolean")
+def json_exists(docs: pa.Array, queries: pa.Array) -> pa.Array:
+    return pa.array([bool(nodes) for nodes in nodelists(docs, queries)], pa.bool_())
 
 
-@F.pandas_udf("string")
-def json_value(docs: pd.Series, queries: pd.Series) -> pd.Series:
+@F.arrow_udf("string")
+def json_value(docs: pa.Array, queries: pa.Array) -> pa.Array:
     """The single node's value: a string as it is, others as JSON text; NULL unless there is just one."""
-    out = []
-    for d, q in zip(docs, queries):
-        root, good = loads(d)
-        nodes = find(parse(q), root) if good and q is not None else []
-        out.append((nodes[0].value if isinstance(nodes[0].value, str) else text_of(nodes[0].value)) if len(nodes) == 1 else None)
-    return pd.Series(out, dtype=object)
+    only = (nodes[0].value if len(nodes) == 1 else NOTHING for nodes in nodelists(docs, queries))
+    return pa.array([v if isinstance(v, str) else None if v is NOTHING else text_of(v) for v in only], pa.string())
 
 
 @F.udtf(returnType="ord int, path string, key string, pos int, value string")

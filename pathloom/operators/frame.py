@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -174,10 +174,24 @@ class JsonFrame:
     def delete(self, query: str | Path, deleted: str | None = None) -> DataFrame:
         """Without the nodes found; ``deleted`` names a column for their values."""
         path = parse(query) if isinstance(query, str) else query
-        if deleted is None and path.segments and self._native(path):
+        if deleted is None and not path.segments:
+            return self._emptied()
+        if deleted is None and self._native(path):
             return self._edit(path, None)
         return self._rewrite(lambda root: evaluate.delete(path, root, own=True, values=deleted is not None), deleted)
 
+    def _emptied(self) -> DataFrame:
+        """Documents without what they contain; scalars stay. Text that is JSON begins with its container's bracket."""
+        source, doc = self._beside()
+        if self.is_variant:
+            empty = [(native.array_view(doc).isNotNull(), "[]"), (native.object_view(doc).isNotNull(), "{}")]
+            new = F.when(empty[0][0], F.parse_json(F.lit("[]"))).when(empty[1][0], F.parse_json(F.lit("{}"))).otherwise(doc)
+        else:
+            text = F.col(f"`{self.doc}`")
+            first = F.ltrim(text, F.lit(" \t\n\r")).substr(1, 1)
+            new = F.when(doc.isNull(), text).when(first == "{", "{}").when(first == "[", "[]").otherwise(F.to_json(doc))
+        return source.withColumn(self.doc, new).drop("_variant")
+
     def _edit(self, path: Path, value: Column | None) -> DataFrame:
         """Rewriting in Catalyst; members of rewritten documents are sorted."""
         source, doc = self._beside()
@@ -269,7 +283,7 @@ class Nodes:
 
     def _in_order(self, column: Column) -> DataFrame:
         """A row a document: ``_all``, its nodes' values of a column in order."""
-        each = self.df.groupBy(*self.ids).agg(F.array_sort(F.collect_list(F.struct("ord", column.alias("_x")))).alias("_all"))
+        each = self.df.groupBy(*self.ids).agg(F.sort_array(F.collect_list(F.struct("ord", column.alias("_x")))).alias("_all"))
         return each.withColumn("_all", F.transform("_all", lambda s: s["_x"]))
 
     def reduce(self, column: Column, initial: Column, merge: Callable[[Column, Column], Column], name: str = "value") -> DataFrame:
@@ -287,9 +301,11 @@ class Nodes:
 
     def zip(self, other: Nodes, left: Column, right: Column) -> DataFrame:
         """Nodes of two queries over the same documents side by side; the first decides how many."""
-        mine = self.with_index("index").select(*self.ids, "index", left.alias("left"))
-        theirs = other.with_index("index").select(*other.ids, "index", right.alias("right"))
-        return mine.join(theirs, [*self.ids, "index"], "left")
+        mine = self._in_order(left).withColumnRenamed("_all", "_mine")
+        theirs = other._in_order(right).withColumnRenamed("_all", "_theirs")
+        both = mine.join(theirs, self.ids, "left")  # by document alone: lists of documents that lie by their key need not move again
+        pairs = both.select(*self.ids, "_theirs", F.posexplode("_mine").alias("index", "left"))
+        return pairs.select(*self.ids, "index", "left", F.get("_theirs", F.col("index")).alias("right"))
 
     def each(self, action: Callable) -> None:
         self.df.foreach(action)
@@ -320,6 +336,25 @@ def json_query(text: Column, query: str | Path) -> Column:
     return F.pandas_udf(run, "array<string>")(text)
 
 
+MOST_BYTES = 8_000_000  # of texts whose parsed form is kept
+_LAST: list = []  # a batch of texts and its parsed form; the functions of a query get the same batch one after the other
+
+
+def _parsed(docs: pa.Array) -> Iterable:
+    """``loads`` of each text, once for all functions over a column; large batches are parsed as they are read."""
+    if docs.nbytes > MOST_BYTES:
+        return map(loads, docs.to_pylist())
+    if not (_LAST and (_LAST[0] is docs or _LAST[0].equals(docs))):
+        _LAST[:] = [docs, [loads(t) for t in docs.to_pylist()]]
+    return _LAST[1]
+
+
+def nodelists(docs: pa.Array, queries: pa.Array) -> Iterator[list]:
+    """The nodelists; empty for what is no JSON or has no query."""
+    for (root, good), q in zip(_parsed(docs), queries.to_pylist()):
+        yield evaluate.find(parse(q), root) if good and q is not None else []
+
+
 def number_of(value: Column) -> Column:
     return F.try_variant_get(value, "$", "double")
 
